@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import nearest, substring
+from . import near, nearest, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components at a similarity of 0.75 of 5-word shingle sets, every document."""
+    return near.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """13-word windows, every document."""
     return substring.remove_repeats(table(spark, sf_dir, "documents"))
