@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near, nearest, substring
+from . import near, nearest, pack, sequences, shards, substring, warc
+
+
+def tokenizer() -> str:
+    """The public tokenizer file that the packing and output queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,11 +24,31 @@ def op2_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of all pages, written and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op4_kd_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """24 shards of all documents."""
+    return shards.shard_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """13-word windows, every document."""
     return substring.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of 2048 tokens, every document."""
+    return pack.pack_documents(table(spark, sf_dir, "documents"), tokenizer())
+
+
+def op9_arrow_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrow stream files of 2048-token sequences, written and read back, every document."""
+    return sequences.round_trip(table(spark, sf_dir, "documents"), tokenizer())
+
+
 def op10_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries: ids divisible by 100; candidates: every other row."""
     vectors = table(spark, sf_dir, "embeddings")
