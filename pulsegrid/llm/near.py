@@ -333,7 +333,7 @@ def _large(sets: DataFrame, percent: int, parts: int) -> DataFrame:
 
     def against(asking, now):
         chunks = now.select("comp", "chunk").distinct()
-        ask = asking.join(chunks, "comp").select("comp", "chunk", "part", "id", "fragment", F.lit(True).alias("asking"), "sig8", "shingles")
+        ask = asking.drop("chunk").join(chunks, "comp").select("comp", "chunk", "part", "id", "fragment", F.lit(True).alias("asking"), "sig8", "shingles")
         parts_of = ask.select("comp", "chunk", "part").distinct()
         answer = now.join(parts_of, ["comp", "chunk"]).select("comp", "chunk", "part", "id", "fragment", F.lit(False).alias("asking"), "sig8", "shingles")
         return store.written(_linked(ask.unionByName(answer), ["comp", "chunk", "part"], percent, LOOSE_AT, parts), "links")
