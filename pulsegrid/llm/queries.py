@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near, nearest, pack, sequences, shards, substring, warc
+from . import mixing, near, nearest, pack, quality, sequences, shards, substring, warc
 
 
 def tokenizer() -> str:
@@ -44,6 +44,17 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack_documents(table(spark, sf_dir, "documents"), tokenizer())
 
 
+def op7_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posteriors, rates and copies of all documents for the production targets."""
+    made = mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return made.select("_doc.doc_id", "tokens", *[F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(mixing.DOMAINS)], "rate", "copies")
+
+
+def op8_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and the log-likelihood ratio of all documents."""
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "rules.*")
+
+
 def op9_arrow_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arrow stream files of 2048-token sequences, written and read back, every document."""
     return sequences.round_trip(table(spark, sf_dir, "documents"), tokenizer())
