@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, near, nearest, pack, quality, sequences, shards, substring, warc
+from . import mixing, near, nearest, pack, quality, sequences, shards, substring, suffix, warc
 
 
 def tokenizer() -> str:
@@ -19,6 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored; trained on six of seven folds."""
+    return suffix.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op2_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components at a similarity of 0.75 of 5-word shingle sets, every document."""
     return near.near_duplicates(table(spark, sf_dir, "documents"))

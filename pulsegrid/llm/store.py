@@ -270,3 +270,63 @@ def unpack(data: bytes) -> list[np.ndarray]:
         out.append(np.frombuffer(data, kind, n, i + 12))
         i += 12 + n * kind.itemsize
     return out
+
+
+def ask(table: DataFrame, emit, reduce, text_bytes: int, name: str) -> tuple[str, list[bytes]]:
+    """Like exchange(), with the answers kept in shared files, one for each block.
+
+    Later passes over the blocks read only their own file, so texts aren't shuffled again.
+    A file is written under an attempt's own name and then moved, so any attempt may win.
+    Answers to block -1 come back as they are: one per bucket at most.
+    """
+    from .sequences import filesystem
+
+    spark = table.sparkSession
+    parts, path = shuffled(spark, text_bytes), fresh(spark, name)
+    sent = per_block(table, lambda b: ((int(k), int(b.block), p) for k, p in emit(b)), "bucket int, block long, payload binary")
+
+    def run(batches):
+        for key, members in grouped(batches):
+            for out in chunks(((int(b), int(key), r) for b, r in reduce(key, members)), 512):
+                yield to_batch(out, "block long, bucket int, reply binary")
+
+    def keep(batches):
+        from pyspark import TaskContext
+
+        fs, base = filesystem(path)
+        fs.create_dir(base, recursive=True)
+        for block, members in grouped(batches):
+            if block == -1:
+                yield to_batch([(r,) for _, r in members], "reply binary")
+                continue
+            own = f"{base}/.{TaskContext.get().taskAttemptId()}-{block}"
+            with fs.open_output_stream(own) as f:
+                for bucket, r in members:
+                    f.write(struct.pack("<iq", bucket, len(r)) + r)
+            fs.move(own, f"{base}/{block}")
+        yield to_batch([], "reply binary")
+
+    answers = sent.repartition(parts, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, "block long, bucket int, reply binary")
+    kept = written(answers.repartition(parts, "block").sortWithinPartitions("block", "bucket").mapInArrow(keep, "reply binary"), name)
+    totals = [bytes(r["reply"]) for r in kept.toLocalIterator()]
+    drop(kept)
+    return path, totals
+
+
+def answers_of(path: str, block: int) -> dict[int, bytes]:
+    """A block's answers from ask(); none if nothing was asked."""
+    from pyarrow import fs as pafs
+
+    from .sequences import filesystem
+
+    fs, base = filesystem(path)
+    if fs.get_file_info(f"{base}/{block}").type == pafs.FileType.NotFound:
+        return {}
+    with fs.open_input_stream(f"{base}/{block}") as f:
+        data = f.read()
+    out, i = {}, 0
+    while i < len(data):
+        bucket, n = struct.unpack_from("<iq", data, i)
+        out[bucket] = data[i + 12 : i + 12 + n]
+        i += 12 + n
+    return out
