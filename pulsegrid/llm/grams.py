@@ -49,3 +49,17 @@ def as_row(weights: DataFrame, bucket: str, columns: list[str], buckets: int, mi
 def with_row(df: DataFrame, row: DataFrame) -> DataFrame:
     """Attach the single row to every row: a broadcast equi-join on a constant key."""
     return df.withColumn("one", F.lit(0)).join(F.broadcast(row), "one").drop("one")
+
+
+def once(df: DataFrame, *columns) -> DataFrame:
+    """Select columns so that later filters and projections use their values.
+
+    Catalyst copies an expression into every filter or lambda that refers to it, however dear;
+    it copies nothing out of a projection that also numbers its rows.
+    """
+    return df.select(*columns, F.monotonically_increasing_id().alias("_once")).where("_once >= 0").drop("_once")
+
+
+def exploded(df: DataFrame, array: Column, name: str, *others) -> DataFrame:
+    """A row for each item; explode() itself would compute the array once more, to filter by its size."""
+    return df.select(*others, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())

@@ -3,9 +3,9 @@
 DataFrame functions only.  A classifier fitted on a bounded sample of the labelled table gives
 every document's domain posteriors; nonnegative rates r minimise
 
-    sum over domains k of (sum_i tokens_i * p_ik * r_i - target_k)^2 / now_k
+    sum over domains k of (sum_i tokens_i * p_ik * r_i - target_k)^2 / scale_k,  r_i <= MOST_RATE,
 
-by accelerated projected gradient steps from r = 1.  A step moves a document's rate by its
+with scale_k the larger of what the domain has, its target and a least share, by accelerated projected gradient steps from r = 1.  A step moves a document's rate by its
 posteriors times one vector of domain residuals, so a rate is a fold over the residual vectors
 of all steps: each step is one aggregate over a skinny table, and only one number per domain
 comes to the driver.
@@ -24,9 +24,11 @@ from . import grams, store
 #: the shrinkage of its weights, the words a text's evidence counts for at most, steps, tokens
 #: wanted over tokens there, and the relative residual at which the steps end.
 BUCKETS, LABELLED, SMOOTHING, SHRINK, EVIDENCE, STEPS, EPOCHS, CLOSE = 8192, 20_000, 0.5, 0.7, 250.0, 30, 1.2, 1e-3
+#: No document more often than this; a domain's residual counts as at least this share of all tokens.
+MOST_RATE, LEAST_SHARE = 4.0, 0.01
 #: Domains of the labelled table and their target shares of tokens.
 DOMAINS = ("good", "low", "toxic")
-TARGETS = {"good": 0.88, "low": 0.03, "toxic": 0.09}
+TARGETS = {"good": 0.90, "low": 0.01, "toxic": 0.09}
 
 
 def domain(quality: Column, toxic: Column) -> Column:
@@ -40,7 +42,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = named.select(F.col("doc_id").alias("label_id"), domain(F.col("q"), F.col("t")).alias("domain")).where("domain is not null").orderBy(F.xxhash64("label_id"), "label_id").limit(most)
     rows = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "label_id")
     one = grams.let(grams.hashes(grams.words(F.col("text"))), lambda h: F.array_distinct(grams.unigrams(h, buckets)))
-    counts = rows.select("domain", F.explode(one).alias("bucket")).groupBy("bucket").agg(*[F.count_if(F.col("domain") == d).alias(f"n_{d}") for d in DOMAINS])
+    counts = grams.exploded(rows, one, "bucket", "domain").groupBy("bucket").agg(*[F.count_if(F.col("domain") == d).alias(f"n_{d}") for d in DOMAINS])
     counts = store.written(counts, "counts")
     totals = counts.agg(*[F.coalesce(F.sum(f"n_{d}"), F.lit(0)).alias(d) for d in DOMAINS]).first().asDict()
     size = {r["domain"]: r["count"] for r in rows.groupBy("domain").count().collect()}  # one row for each domain
@@ -79,7 +81,7 @@ def with_posteriors(docs: DataFrame, row: DataFrame, prior: dict, text_col: str
 
         return grams.let(seen, posterior)
 
-    return inner.select("_doc", grams.let(grams.hashes(grams.words(F.col("_doc")[text_col])), member).alias("m"))
+    return grams.once(inner, "_doc", grams.let(grams.hashes(grams.words(F.col("_doc")[text_col])), member).alias("m"))
 
 
 def rate(p: Column, history: list[list[float]], momentum: list[float], at_probe: bool = False) -> Column:
@@ -90,7 +92,7 @@ def rate(p: Column, history: list[list[float]], momentum: list[float], at_probe:
 
     def step(a, g):
         move = sum((p[k] * g[k] for k in range(len(history[0]))), F.lit(0.0))
-        new = F.greatest(F.lit(0.0), a["y"] - move)
+        new = F.least(F.lit(MOST_RATE), F.greatest(F.lit(0.0), a["y"] - move))
         return F.struct(new.alias("r"), (new + g[len(history[0])] * (new - a["r"])).alias("y"))
 
     zero = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))
@@ -107,10 +109,11 @@ def fit_rates(members: DataFrame, targets: dict, steps: int = STEPS, epochs: flo
 
     now = sums(F.lit(1.0))
     wanted = [targets[d] for d in names]
-    goal = [epochs * sum(now) * w / sum(wanted) for w in wanted]
+    goal = [epochs * sum(now) * w / (sum(wanted) or 1.0) for w in wanted]
+    scale = [max(a, b, LEAST_SHARE * sum(now), 1.0) for a, b in zip(now, goal, strict=True)]
     history, momentum, at, t = [], [], now, 1.0
     for _ in range(steps):
-        g = [(a - b) / n if n > 0 else 0.0 for a, b, n in zip(at, goal, now, strict=True)]
+        g = [(a - b) / n for a, b, n in zip(at, goal, scale, strict=True)]
         if max(abs(x) for x in g) < CLOSE:
             break
         following = (1 + (1 + 4 * t * t) ** 0.5) / 2

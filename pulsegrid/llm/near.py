@@ -194,7 +194,7 @@ def _linked(rows: DataFrame, keys: list[str], percent: int, least: float, parts:
     return rows.select(*keys, "id", "fragment", "asking", "sig8", "shingles").repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, trees: int = TREES, levels: int = LEVELS, node: int = NODE, group_docs: int = GROUP_DOCS, block_bytes: int = store.BLOCK_BYTES) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
     """Components of documents under the links 100 * intersection >= percent * union of shingle sets.
 
     Returns id_col, n_shingles, component_id (the smallest id reachable), kept (the id is its
@@ -204,8 +204,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are one vertex, linked by whichever text links.  Extra columns are ignored.  An empty table
     gives an empty result.
     """
-    spark = docs.sparkSession
-    table = store.blocks(docs, id_col, text_col, block_bytes)
+    table = store.blocks(docs, id_col, text_col, parameters.pop("block_bytes", store.BLOCK_BYTES))
+    found = _vertices(table, **parameters)
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
+    """docs without near-duplicates: of each component the row with the smallest id stays.
+
+    Cases are as in near_duplicates(); of rows that share the smallest id, one stays; rows with
+    a null id all stay.  All columns are kept.
+    """
+    table = store.blocks(docs, id_col, text_col, parameters.pop("block_bytes", store.BLOCK_BYTES), whole_rows=True)
+    found = _vertices(table, **parameters)
+    first = found.where("id = component").groupBy("component").agg(F.min(F.struct("block", "place")).alias("r")).select("r.block", "r.place")
+    stay = first.unionByName(found.where("id is null").select("block", "place"))
+    stay = store.written(stay.groupBy("block").agg(F.sort_array(F.collect_list("place")).alias("places")), "stay")
+    names = docs.columns
+
+    def run(batches):
+        for row in store.rows(batches):
+            places = row.pop("places")
+            yield store.Block(row).restored(names, id_col, text_col, np.array(places, np.int64))
+
+    kept = table.hint("shuffle_merge").join(stay, "block").mapInArrow(run, store.restored_schema(docs, id_col))
+    return kept.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in docs.schema])
+
+
+def _vertices(table: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, trees: int = TREES, levels: int = LEVELS, node: int = NODE, group_docs: int = GROUP_DOCS) -> DataFrame:
+    """Every row of a table of blocks with its component: block, place, id, n (shingles), component."""
+    spark = table.sparkSession
     _, size = store.corpus_size(table)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -247,7 +275,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for b in batches:
             if not b.num_rows:
                 continue
-            sig = np.frombuffer(b.column("sig").combine_chunks() if False else b"".join(b.column("sig").to_pylist()), np.uint32).reshape(b.num_rows, -1)
+            sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(b.num_rows, -1)
             rep, start = b.column("rep").to_numpy(), b.column("node").to_numpy().view(np.uint64)
             for t in range(trees) if b.schema.get_field_index("tree") >= 0 else [0]:
                 at = second(start, 100 + t) if b.schema.get_field_index("tree") >= 0 else start
@@ -309,13 +337,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = links.unionByName(_large(store.written(sets(big), "sets"), percent, wide))
     found = components(links)
     where = classes.select(*key, "rep").join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component"))
-    joined = info.select("id", *key).join(where, key, "left")
+    joined = info.select("id", "block", "place", *key).join(where, key, "left")
     # rows that share an id are one vertex: a second pass only if there are any
     if not full.groupBy("id").agg(F.countDistinct(*key).alias("k")).where("k > 1").isEmpty():
         again = components(joined.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links))
-        joined = joined.join(again.select(F.col("id"), F.col("component").alias("whole")), "id", "left").select("id", "n", F.coalesce("whole", "component").alias("component"))
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+        joined = joined.join(again.select(F.col("id"), F.col("component").alias("whole")), "id", "left").withColumn("component", F.coalesce("whole", "component"))
+    return joined.select("block", "place", "id", "n", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
 
 
 def _large(sets: DataFrame, percent: int, parts: int) -> DataFrame:

@@ -59,7 +59,7 @@ def gram_weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     """One row with ``weights``: log of trusted over raw probability for each bucket."""
     rows = docs.select(F.col(id_col).alias("trusted_id"), F.col(text_col).alias("text")).join(F.broadcast(trusted.withColumn("is_trusted", F.lit(1))), "trusted_id", "left")
     both = grams.let(grams.hashes(grams.words(F.col("text"))), lambda h: F.concat(grams.unigrams(h, buckets), grams.bigrams(h, buckets)))
-    counts = rows.select("is_trusted", F.explode(both).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("raw"), F.count("is_trusted").alias("good"))
+    counts = grams.exploded(rows, both, "bucket", "is_trusted").groupBy("bucket").agg(F.count("*").alias("raw"), F.count("is_trusted").alias("good"))
     sums = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)).alias("all_raw"), F.coalesce(F.sum("good"), F.lit(0)).alias("all_good"))
     a = F.lit(float(smoothing))
     each = counts.withColumn("one", F.lit(0)).join(F.broadcast(sums.withColumn("one", F.lit(0))), "one")
@@ -90,7 +90,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
         return grams.let(grams.hashes(ws), more)
 
-    judged = weighted.select("_doc", grams.let(grams.words(text), rules).alias("r"))
+    judged = grams.once(weighted, "_doc", grams.let(grams.words(text), rules).alias("r"))
     failed = (F.col("r.n_words") < LEAST_WORDS) | (100 * F.col("r.n_repeat_words") > MOST_REPEATED_PERCENT * F.col("r.n_words"))
     kept = ~failed & (F.col("r.llr") >= F.lit(threshold))
     return judged.select("_doc.*", F.struct("r.*", failed.alias("base_failed"), kept.alias("kept")).alias("rules"))

@@ -77,6 +77,7 @@ class Block:
         n = len(ids) // 2
         self.ids, self.null = ids[:n], ids[n:] != 0
         self.at = np.r_[0, np.cumsum(np.frombuffer(row["lengths"], np.int64))].astype(np.int64)
+        self.other = row.get("other")
         self.raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["data"], max_output_size=max(1, int(self.at[-1]))), np.uint8)
 
     def words(self, lower: bool = False):
@@ -84,6 +85,19 @@ class Block:
 
         return Words(self.raw, self.at, lower)
 
+    def restored(self, names: list[str], id_col: str, text_col: str, rows: np.ndarray, texts: list | None = None) -> pa.RecordBatch:
+        """Whole rows of the documents, in the given order of columns; texts replace their texts."""
+        other = pa.ipc.open_stream(self.other).read_all().combine_chunks()
+        other = other.column(0).chunk(0) if other.num_rows else pa.array([], other.schema.field(0).type)
+        other = other.take(pa.array(rows))
+        at = pa.array(rows)
+        none = other.field("_no_text").to_numpy(zero_copy_only=False)
+        if texts is None:
+            raw = self.raw.tobytes()
+            texts = [raw[self.at[i] : self.at[i + 1]].decode() for i in rows.tolist()]
+        columns = {id_col: pa.array(self.ids, mask=self.null).take(at), text_col: pa.array([None if x and not t else t for x, t in zip(none, texts, strict=True)], pa.string())}
+        return pa.RecordBatch.from_arrays([columns[n] if n in columns else other.field(f"c{i}") for i, n in enumerate(names)], names=names)
+
 
 def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     """Rows of Arrow batches, one at a time."""
@@ -92,8 +106,11 @@ def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {k: batch.column(j)[i].as_py() for j, k in enumerate(batch.schema.names)}
 
 
-def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, name: str = "blocks") -> DataFrame:
-    """Pack (id, text) rows into a written table of blocks. Null ids are marked, null texts are empty."""
+def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, name: str = "blocks", whole_rows: bool = False) -> DataFrame:
+    """Pack (id, text) rows into a written table of blocks. Null ids are marked, null texts are empty.
+
+    With whole_rows the block also holds the other columns, for Block.restored().
+    """
 
     def pack(batches):
         from pyspark import TaskContext
@@ -101,14 +118,20 @@ def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bloc
         from .text import buffers
 
         at = TaskContext.get()
-        number, ids, lengths, data, size = 0, [], [], [], 0
+        number, ids, lengths, data, size, others = 0, [], [], [], 0, []
 
         def out():
-            nonlocal number, ids, lengths, data, size
+            nonlocal number, ids, lengths, data, size, others
             i, n = np.concatenate(ids), np.concatenate(lengths)
             row = [(at.partitionId() << 32) + number, len(n), size, np.concatenate([i.filled(0), np.ma.getmaskarray(i).astype(np.int64)]).astype(np.int64).tobytes(), n.tobytes(), zstandard.ZstdCompressor(level=1).compress(np.concatenate(data).tobytes())]
-            number, ids, lengths, data, size = number + 1, [], [], [], 0
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["block", "n", "bytes", "ids", "lengths", "data"])
+            if whole_rows:
+                column = pa.concat_arrays(others)
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, pa.schema([("other", column.type)])) as w:
+                    w.write_batch(pa.RecordBatch.from_arrays([column], names=["other"]))
+                row.append(sink.getvalue().to_pybytes())
+            number, ids, lengths, data, size, others = number + 1, [], [], [], 0, []
+            return to_batch([tuple(row)], schema)
 
         for batch in batches:
             col = batch.column(0)
@@ -121,6 +144,8 @@ def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bloc
                 lengths.append(np.diff(pos[a : b + 1]))
                 data.append(raw[pos[a] : pos[b]])
                 size += int(pos[b] - pos[a])
+                if whole_rows:
+                    others.append(batch.column(2).slice(a, b - a))
                 a = b
                 if size >= block_bytes or sum(map(len, lengths)) >= 1 << 17:
                     ids = [np.ma.concatenate(ids)]
@@ -132,8 +157,13 @@ def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bloc
             ids = [np.ma.concatenate(ids)]
             yield out()
 
-    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return written(picked.mapInArrow(pack, _BLOCK), name)
+    picked = [F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")]
+    schema = _BLOCK
+    if whole_rows:
+        schema += ", other binary"
+        others = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c not in (id_col, text_col)]
+        picked.append(F.struct(F.col(text_col).isNull().alias("_no_text"), *others).alias("other"))
+    return written(docs.select(*picked).mapInArrow(pack, schema), name)
 
 
 def corpus_size(table: DataFrame) -> tuple[int, int]:
@@ -236,7 +266,7 @@ def grouped(batches) -> Iterator[tuple[int, list[tuple]]]:
         yield key, members
 
 
-def with_replies(joined: DataFrame, apply, schema: str) -> DataFrame:
+def with_replies(joined: DataFrame, apply, schema) -> DataFrame:
     """apply(block, {bucket: reply}) yields Arrow batches of the schema."""
 
     def run(batches):
@@ -246,7 +276,7 @@ def with_replies(joined: DataFrame, apply, schema: str) -> DataFrame:
             for out in apply(Block(row), got):
                 some = True
                 yield out
-        if not some:
+        if not some and isinstance(schema, str):
             yield to_batch([], schema)
 
     return joined.mapInArrow(run, schema)
@@ -330,3 +360,10 @@ def answers_of(path: str, block: int) -> dict[int, bytes]:
         out[bucket] = data[i + 12 : i + 12 + n]
         i += 12 + n
     return out
+
+
+def restored_schema(docs: DataFrame, id_col: str):
+    """The schema that Block.restored() gives: that of docs, with a long id."""
+    from pyspark.sql import types as T
+
+    return T.StructType([T.StructField(f.name, T.LongType() if f.name == id_col else f.dataType) for f in docs.schema])

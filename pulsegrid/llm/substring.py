@@ -55,19 +55,20 @@ def _candidates(block: store.Block, words: Words, k: int, counts: sketch.Sketch,
     return first, h, text, key[order], low[order], high[order], cut
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, sketch_bits: int = SKETCH_BITS, keep_text: bool = False, block_bytes: int = store.BLOCK_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, sketch_bits: int = SKETCH_BITS, whole_rows: bool = False, block_bytes: int = store.BLOCK_BYTES) -> DataFrame:
     """Remove every word covered by a window that also starts in a document with a smaller id.
 
     Windows are judged on the input.  Returns id_col, n_words, n_removed, kept_sha256 (of the
-    kept words joined by one space), and with keep_text also ``kept_text``: the text without
-    the removed words, unchanged where none is removed (else kept words joined by one space).
+    kept words joined by one space).  With whole_rows returns docs itself, with the text that is
+    left: unchanged where nothing is removed, else the stretches of kept words, as they stood,
+    joined by one space.
 
     Null texts have no words.  Rows with a null id lose nothing and cause no removal.  Rows
     that share an id are one document for the comparison: none causes removal in another.
     Extra columns are ignored.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    table = store.blocks(docs, id_col, text_col, block_bytes)
+    table = store.blocks(docs, id_col, text_col, block_bytes, whole_rows=whole_rows)
     _, size = store.corpus_size(table)
     buckets = store.bucket_count(size)
     counts = sketch.build(table, lambda b: _keys(b, window), 2, sketch.width_bits(size // 6, sketch_bits), SKETCH_DEPTH)
@@ -101,7 +102,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield block, store.pack(np.packbits(on), found[on])
             i += n
 
-    schema = f"{id_col} long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
+    names = docs.columns
+    schema = f"{id_col} long, n_words long, n_removed long, kept_sha256 string"
 
     def apply(block, replies):
         words = block.words()
@@ -125,20 +127,31 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         total = np.r_[0, np.cumsum(gone)]
         removed = total[words.offsets[1:]] - total[words.offsets[:-1]]
         raw = block.raw.tobytes()
-        digests, texts = [], []
+        if whole_rows:
+            yield block.restored(names, id_col, text_col, np.arange(len(n_words)), [_left(words, gone, raw, block.at, i, removed[i]) for i in range(len(n_words))])
+            return
+        digests = []
         for i in range(len(n_words)):
             a, b = words.offsets[i], words.offsets[i + 1]
-            source = raw[block.at[i] : block.at[i + 1]]
             if removed[i]:
-                s = block.at[i]
                 kept = np.flatnonzero(~gone[a:b]) + a
-                joined = b" ".join([raw[x:y] for x, y in zip(words.start[kept].tolist(), words.end[kept].tolist(), strict=True)])
+                parts = [raw[x:y] for x, y in zip(words.start[kept].tolist(), words.end[kept].tolist(), strict=True)]
             else:
-                joined = b" ".join(source.split())
-            digests.append(hashlib.sha256(joined).hexdigest())
-            if keep_text:
-                texts.append((joined if removed[i] else source).decode())
-        out = [pa.array(block.ids, mask=block.null), n_words.astype(np.int64), removed.astype(np.int64), digests] + [texts] * keep_text
-        yield store.columns_batch(out, schema)
-
-    return store.with_replies(store.exchange(table, emit, reduce, size), apply, schema)
+                parts = raw[block.at[i] : block.at[i + 1]].split()
+            digests.append(hashlib.sha256(b" ".join(parts)).hexdigest())
+        yield store.columns_batch([pa.array(block.ids, mask=block.null), n_words.astype(np.int64), removed.astype(np.int64), digests], schema)
+
+    done = store.with_replies(store.exchange(table, emit, reduce, size), apply, store.restored_schema(docs, id_col) if whole_rows else schema)
+    return done.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in docs.schema]) if whole_rows else done
+
+
+def _left(words: Words, gone: np.ndarray, raw: bytes, at: np.ndarray, i: int, removed: int) -> str:
+    """What is left of text i."""
+    if not removed:
+        return raw[at[i] : at[i + 1]].decode()
+    kept = np.flatnonzero(~gone[words.offsets[i] : words.offsets[i + 1]]) + words.offsets[i]
+    if not len(kept):
+        return ""
+    first = kept[np.r_[True, np.diff(kept) > 1]]
+    last = kept[np.r_[np.diff(kept) > 1, True]]
+    return b" ".join([raw[x:y] for x, y in zip(words.start[first].tolist(), words.end[last].tolist(), strict=True)]).decode()
