@@ -1,9 +1,9 @@
 """Token ids in Arrow stream files of fixed-size-list batches (op9).
 
-A file is an Arrow IPC stream of record batches with the columns ``ids`` and ``mask``: lists
-of exactly L entries, so every sequence lies at a fixed place in its batch's buffer and is
-read without copying from a memory map.  mask has bit 1 for a real token and bit 2 for the
-last token of a document; only the last sequence of a file is padded.  Ids are stored in the
+A file is an Arrow IPC stream of record batches with the columns ``ids``, ``mask`` (a real
+token) and ``last`` (the last token of a document): lists of exactly L entries, so every
+sequence lies at a fixed place in its batch's buffers and is read without copying from a
+memory map; mask and last take a bit a token.  Only the last sequence of a file is padded.  Ids are stored in the
 smallest unsigned type that holds the vocabulary.  Documents lie end to end in ascending order
 of ids; files are numbered in that order, and an index stream beside each file has the
 documents' ids.
@@ -41,20 +41,20 @@ class SequenceWriter:
     def __init__(self, sink, index_sink, dtype, length: int = LENGTH, rows: int = BATCH_ROWS):
         self.length, self.rows, self.dtype = length, rows, np.dtype(dtype)
         kind = pa.from_numpy_dtype(self.dtype)
-        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length))], metadata={"length": str(length), "rows": str(rows)})
+        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length)), ("last", pa.list_(pa.bool_(), length))], metadata={"length": str(length), "rows": str(rows)})
         self.out = pa.ipc.new_stream(sink, self.schema)
         self.index_schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64())])
         self.index = pa.ipc.new_stream(index_sink, self.index_schema)
-        self.ids, self.mask, self.tokens, self.docs = [], [], 0, 0
+        self.ids, self.last, self.tokens, self.docs = [], [], 0, 0
         self.held = 0
 
     def add(self, doc_ids: pa.Array, ids: np.ndarray, counts: np.ndarray) -> None:
         """Documents' ids end to end (each with its end id) and how many each has."""
-        mask = np.ones(len(ids), np.uint8)
-        mask[np.cumsum(counts) - 1] = 3
+        last = np.zeros(len(ids), bool)
+        last[np.cumsum(counts) - 1] = True
         self.index.write_batch(pa.RecordBatch.from_arrays([doc_ids, pa.array(counts, pa.int64())], schema=self.index_schema))
         self.ids.append(ids.astype(self.dtype))
-        self.mask.append(mask)
+        self.last.append(last)
         self.tokens, self.docs, self.held = self.tokens + len(ids), self.docs + len(counts), self.held + len(ids)
         self._flush(False)
 
@@ -62,17 +62,18 @@ class SequenceWriter:
         room = self.length * self.rows
         if self.held < room and not end or not self.held:
             return
-        ids, mask = np.concatenate(self.ids), np.concatenate(self.mask)
+        ids, last = np.concatenate(self.ids), np.concatenate(self.last)
+        mask = np.ones(len(ids), bool)
         n = len(ids) if end else len(ids) // room * room
         if end and n % self.length:
             pad = self.length - n % self.length
-            ids, mask = np.r_[ids, np.zeros(pad, self.dtype)], np.r_[mask, np.zeros(pad, np.uint8)]
+            ids, mask, last = np.r_[ids, np.zeros(pad, self.dtype)], np.r_[mask, np.zeros(pad, bool)], np.r_[last, np.zeros(pad, bool)]
             n += pad
         for a in range(0, n, room):
             part = slice(a, min(n, a + room))
-            cols = [pa.FixedSizeListArray.from_arrays(pa.array(x[part]), type=f.type) for x, f in zip((ids, mask), self.schema, strict=True)]
+            cols = [pa.FixedSizeListArray.from_arrays(pa.array(x[part]), type=f.type) for x, f in zip((ids, mask, last), self.schema, strict=True)]
             self.out.write_batch(pa.RecordBatch.from_arrays(cols, schema=self.schema))
-        self.ids, self.mask = [ids[n:]], [mask[n:]]
+        self.ids, self.last = [ids[n:]], [last[n:]]
         self.held = len(self.ids[0])
 
     def close(self) -> None:
@@ -92,15 +93,12 @@ class SequenceFile:
     def __len__(self) -> int:
         return sum(b.num_rows for b in self.batches)
 
-    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+    def __getitem__(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
         """Ids and mask of sequence i: views of the file's bytes."""
         batch, row = self.batches[i // self.rows], i % self.rows
-        out = []
-        for name in ("ids", "mask"):
-            col = batch.column(name)
-            n = col.type.list_size
-            out.append(col.values.to_numpy(zero_copy_only=True)[row * n : (row + 1) * n])
-        return out[0], out[1]
+        ids, mask = batch.column("ids"), batch.column("mask")
+        n = ids.type.list_size
+        return ids.values.slice(row * n, n).to_numpy(zero_copy_only=True), mask.values.slice(row * n, n)
 
 
 def write_sequences(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end_id: int = END_ID, parts: int | None = None) -> DataFrame:
@@ -174,14 +172,13 @@ def read_sequences(spark: SparkSession, manifest: DataFrame, path: str, id_col:
             with fs.open_input_stream(f"{base}/{row['file']}.index") as f:
                 index = pa.ipc.open_stream(f).read_all()
             begin = row["begin"]
-            done, crc, count, crcs, counts = 0, 0, 0, [], []
+            crc, count, crcs, counts = 0, 0, [], []
             with fs.open_input_stream(f"{base}/{row['file']}.arrows") as f:
                 for batch in pa.ipc.open_stream(f):
-                    mask = batch.column("mask").flatten().to_numpy()
-                    ids = batch.column("ids").flatten().to_numpy()[mask > 0].astype("<u4")
-                    mask = mask[mask > 0]
+                    real, last = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("mask", "last"))
+                    ids = batch.column("ids").flatten().to_numpy()[real].astype("<u4")
                     data, a = ids.tobytes(), 0
-                    for b in (np.flatnonzero(mask == 3) + 1).tolist():
+                    for b in (np.flatnonzero(last[real]) + 1).tolist():
                         crcs.append(zlib.crc32(data[a * 4 : b * 4], crc))
                         counts.append(count + b - a)
                         a, crc, count = b, 0, 0
