@@ -231,27 +231,6 @@ def columns_batch(arrays: list, schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a, f.type) for a, f in zip(arrays, s, strict=True)], schema=s)
 
 
-def exchange(table: DataFrame, emit, reduce, text_bytes: int) -> DataFrame:
-    """Send packed keys from blocks to buckets and the answers back.
-
-    emit(block) yields (bucket, payload); reduce(bucket, [(block, payload)]) yields
-    (block, reply).  Returns the table of blocks with a column ``replies``: an array of
-    (bucket, reply) for each block.
-    """
-    spark = table.sparkSession
-    parts = shuffled(spark, text_bytes)
-    sent = per_block(table, lambda b: ((int(k), int(b.block), p) for k, p in emit(b)), "bucket int, block long, payload binary")
-
-    def run(batches):
-        for key, members in grouped(batches):
-            for out in chunks(((int(b), int(key), r) for b, r in reduce(key, members)), 512):
-                yield to_batch(out, "block long, bucket int, reply binary")
-
-    answers = sent.repartition(parts, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, "block long, bucket int, reply binary")
-    by_block = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "reply")).alias("replies"))
-    return table.hint("shuffle_merge").join(by_block, "block", "left")
-
-
 def grouped(batches) -> Iterator[tuple[int, list[tuple]]]:
     """Runs of rows with an equal first column, from sorted batches: key, the other columns."""
     key, members = None, []
@@ -266,22 +245,6 @@ def grouped(batches) -> Iterator[tuple[int, list[tuple]]]:
         yield key, members
 
 
-def with_replies(joined: DataFrame, apply, schema) -> DataFrame:
-    """apply(block, {bucket: reply}) yields Arrow batches of the schema."""
-
-    def run(batches):
-        some = False
-        for row in rows(batches):
-            got = {r["bucket"]: r["reply"] for r in row.pop("replies") or []}
-            for out in apply(Block(row), got):
-                some = True
-                yield out
-        if not some and isinstance(schema, str):
-            yield to_batch([], schema)
-
-    return joined.mapInArrow(run, schema)
-
-
 def pack(*arrays: np.ndarray) -> bytes:
     """Several arrays in one byte string."""
     out = []
@@ -303,9 +266,11 @@ def unpack(data: bytes) -> list[np.ndarray]:
 
 
 def ask(table: DataFrame, emit, reduce, text_bytes: int, name: str) -> tuple[str, list[bytes]]:
-    """Like exchange(), with the answers kept in shared files, one for each block.
+    """Send packed keys from blocks to buckets and keep the answers, in a shared file for each block.
 
-    Later passes over the blocks read only their own file, so texts aren't shuffled again.
+    emit(block) yields (bucket, payload); reduce(bucket, [(block, payload)]) yields
+    (block, reply).  Later passes over the blocks read only their own file (answers_of), so
+    texts aren't shuffled.
     A file is written under an attempt's own name and then moved, so any attempt may win.
     Answers to block -1 come back as they are: one per bucket at most.
     """

@@ -141,7 +141,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             digests.append(hashlib.sha256(b" ".join(parts)).hexdigest())
         yield store.columns_batch([pa.array(block.ids, mask=block.null), n_words.astype(np.int64), removed.astype(np.int64), digests], schema)
 
-    done = store.with_replies(store.exchange(table, emit, reduce, size), apply, store.restored_schema(docs, id_col) if whole_rows else schema)
+    path, _ = store.ask(table, emit, reduce, size, "repeats")
+
+    def run(batches):
+        some = False
+        for row in store.rows(batches):
+            block = store.Block(row)
+            some = True
+            yield from apply(block, store.answers_of(path, block.block))
+        if not some and not whole_rows:
+            yield store.to_batch([], schema)
+
+    done = table.mapInArrow(run, store.restored_schema(docs, id_col) if whole_rows else schema)
     return done.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in docs.schema]) if whole_rows else done
 
 
