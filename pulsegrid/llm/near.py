@@ -23,7 +23,7 @@ from .text import Words, chain, mix, second
 #: Words of a shingle, percent of similarity that links, minhash values, trees, levels, documents
 #: of a small node, estimated similarity from which two documents are candidates, and documents
 #: and shingle bytes compared in one task.
-SHINGLE, PERCENT, VALUES, TREES, LEVELS, NODE, LOOSE_AT, GROUP_DOCS, GROUP_BYTES = 5, 75, 96, 16, 6, 64, 0.5, 512, 24 << 20
+SHINGLE, PERCENT, VALUES, TREES, LEVELS, NODE, LOOSE_AT, GROUP_DOCS, GROUP_BYTES = 5, 75, 96, 14, 4, 64, 0.5, 512, 24 << 20
 _MULTIPLY = np.random.default_rng(91).integers(1, 2**63, 512, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -219,15 +219,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     found = _vertices(table, **parameters)
     first = found.where("id = component").groupBy("component").agg(F.min(F.struct("block", "place")).alias("r")).select("r.block", "r.place")
     stay = first.unionByName(found.where("id is null").select("block", "place"))
-    stay = store.written(stay.groupBy("block").agg(F.sort_array(F.collect_list("place")).alias("places")), "stay")
+    path = store.deliver(stay, "stay")
     names = docs.columns
 
     def run(batches):
         for row in store.rows(batches):
-            places = row.pop("places")
-            yield store.Block(row).restored(names, id_col, text_col, np.array(places, np.int64))
+            places = store.delivered(path, row["block"])
+            if places is not None:
+                yield store.Block(row).restored(names, id_col, text_col, np.sort(places["place"].to_numpy().astype(np.int64)))
 
-    kept = table.hint("shuffle_merge").join(stay, "block").mapInArrow(run, store.restored_schema(docs, id_col))
+    kept = table.mapInArrow(run, store.restored_schema(docs, id_col))
     return kept.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in docs.schema])
 
 
@@ -313,21 +314,23 @@ def _vertices(table: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     def sets(which: DataFrame) -> DataFrame:
         """Full sets of the chosen representatives, out of their blocks."""
         wanted = groups.join(which, "comp").withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("chunks")).cast("int"))
-        asked = wanted.groupBy("block").agg(F.collect_list(F.struct("place", "comp", "chunk", "rep", "sig8")).alias("asked"))
+        path = store.deliver(wanted.select("block", "place", "comp", "chunk", "rep", "sig8"), "asked")
 
         def run(batches):
             schema = "comp long, chunk int, id long, sig8 binary, shingles binary"
             some = False
             for row in store.rows(batches):
-                asked = row.pop("asked")
+                asked = store.delivered(path, row["block"])
+                if asked is None:
+                    continue
                 h, at = shingle_sets(store.Block(row).words(lower=True), shingle)
-                for out in store.chunks(((r["comp"], r["chunk"], r["rep"], r["sig8"], h[at[r["place"]] : at[r["place"] + 1]].tobytes()) for r in asked), 512):
+                for out in store.chunks(((r["comp"], r["chunk"], r["rep"], r["sig8"], h[at[r["place"]] : at[r["place"] + 1]].tobytes()) for r in asked.to_pylist()), 512):
                     some = True
                     yield store.to_batch(out, schema)
             if not some:
                 yield store.to_batch([], schema)
 
-        return table.hint("shuffle_merge").join(asked, "block").mapInArrow(run, "comp long, chunk int, id long, sig8 binary, shingles binary")
+        return table.mapInArrow(run, "comp long, chunk int, id long, sig8 binary, shingles binary")
 
     wide = max(parts, store.bucket_count(size))
     alone = F.col("id").alias("fragment"), F.lit(True).alias("asking")

@@ -332,3 +332,54 @@ def restored_schema(docs: DataFrame, id_col: str):
     from pyspark.sql import types as T
 
     return T.StructType([T.StructField(f.name, T.LongType() if f.name == id_col else f.dataType) for f in docs.schema])
+
+
+def deliver(df: DataFrame, name: str) -> str:
+    """Write rows (block, ...) to shared files, one for each block, for delivered()."""
+    from .sequences import filesystem
+
+    spark = df.sparkSession
+    path, parts = fresh(spark, name), int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        fs, base = filesystem(path)
+        fs.create_dir(base, recursive=True)
+        task = TaskContext.get().taskAttemptId()
+        open_block, sink, writer, own = None, None, None, ""
+
+        def close():
+            if writer:
+                writer.close()
+                sink.close()
+                fs.move(own, f"{base}/{open_block}")
+
+        for batch in batches:
+            block = batch.column("block").to_numpy()
+            cut = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True]) if len(block) else [0]
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                if block[a] != open_block:
+                    close()
+                    open_block, own = int(block[a]), f"{base}/.{task}-{int(block[a])}"
+                    sink = fs.open_output_stream(own)
+                    writer = pa.ipc.new_stream(sink, batch.schema)
+                writer.write_batch(batch.slice(a, b - a))
+        close()
+        yield to_batch([], "done int")
+
+    drop(written(df.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(run, "done int"), name))
+    return path
+
+
+def delivered(path: str, block: int) -> pa.Table | None:
+    """The rows that deliver() wrote for a block."""
+    from pyarrow import fs as pafs
+
+    from .sequences import filesystem
+
+    fs, base = filesystem(path)
+    if fs.get_file_info(f"{base}/{block}").type == pafs.FileType.NotFound:
+        return None
+    with fs.open_input_stream(f"{base}/{block}") as f:
+        return pa.ipc.open_stream(f).read_all()
