@@ -1 +1 @@
-"""See the README for what lives here."""
+"""Column functions over whole signals (arrays) and their closed-form coefficients."""

@@ -1 +1 @@
-"""See the README for what lives here."""
+"""DataFrame operators: images and videos, signals, masks, morphology, velocity, inference."""
