@@ -16,7 +16,14 @@ def let(value: Column, body) -> Column:
 
 def words(text: Column) -> Column:
     """Words of a text; none for null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES, -1), lambda w: w != "")
+    inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
+    # a trimmed text has empty parts only if it is empty itself
+    return F.array_remove(F.split(inner, SPACES, -1), "")
+
+
+def buckets_of(ws: Column, buckets: int) -> Column:
+    """The bucket of each word."""
+    return F.transform(ws, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
 
 
 def hashes(ws: Column) -> Column:

@@ -24,8 +24,9 @@ from . import grams, store
 #: the shrinkage of its weights, the words a text's evidence counts for at most, steps, tokens
 #: wanted over tokens there, and the relative residual at which the steps end.
 BUCKETS, LABELLED, SMOOTHING, SHRINK, EVIDENCE, STEPS, EPOCHS, CLOSE = 8192, 20_000, 0.5, 0.7, 250.0, 30, 1.2, 1e-3
-#: No document more often than this; a domain's residual counts as at least this share of all tokens.
-MOST_RATE, LEAST_SHARE = 4.0, 0.01
+#: No document more often than this; a domain's residual counts as at least this share of all tokens;
+#: steps after which states are written.
+MOST_RATE, LEAST_SHARE, WRITE_EVERY = 4.0, 0.01, 6
 #: Domains of the labelled table and their target shares of tokens.
 DOMAINS = ("good", "low", "toxic")
 TARGETS = {"good": 0.90, "low": 0.01, "toxic": 0.09}
@@ -41,7 +42,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     named = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
     sample = named.select(F.col("doc_id").alias("label_id"), domain(F.col("q"), F.col("t")).alias("domain")).where("domain is not null").orderBy(F.xxhash64("label_id"), "label_id").limit(most)
     rows = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "label_id")
-    one = grams.let(grams.hashes(grams.words(F.col("text"))), lambda h: F.array_distinct(grams.unigrams(h, buckets)))
+    one = F.array_distinct(grams.buckets_of(grams.words(F.col("text")), buckets))
     counts = grams.exploded(rows, one, "bucket", "domain").groupBy("bucket").agg(*[F.count_if(F.col("domain") == d).alias(f"n_{d}") for d in DOMAINS])
     counts = store.written(counts, "counts")
     totals = counts.agg(*[F.coalesce(F.sum(f"n_{d}"), F.lit(0)).alias(d) for d in DOMAINS]).first().asDict()
@@ -66,9 +67,7 @@ def with_posteriors(docs: DataFrame, row: DataFrame, prior: dict, text_col: str
     """docs (as a struct column _doc) with ``m``: tokens (words) and posteriors p, in the order of DOMAINS."""
     inner = grams.with_row(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")), row)
 
-    def member(wh):
-        seen = F.array_distinct(grams.unigrams(wh, buckets))
-
+    def member(places):
         def posterior(b):
             # all of a short text's evidence, a longer one's in proportion
             scale = F.least(F.lit(1.0), F.sqrt(F.lit(EVIDENCE) / F.greatest(F.size(b), F.lit(1))))
@@ -77,17 +76,17 @@ def with_posteriors(docs: DataFrame, row: DataFrame, prior: dict, text_col: str
             def normal(x):
                 return grams.let(F.transform(x, lambda v: F.exp(v - F.array_max(x))), lambda e: F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda s, y: s + y)))
 
-            return F.struct(F.size(wh).cast("long").alias("tokens"), grams.let(logs, normal).alias("p"))
+            return F.struct(F.size(places).cast("long").alias("tokens"), grams.let(logs, normal).alias("p"))
 
-        return grams.let(seen, posterior)
+        return grams.let(F.array_distinct(places), posterior)
 
-    return grams.once(inner, "_doc", grams.let(grams.hashes(grams.words(F.col("_doc")[text_col])), member).alias("m"))
+    return grams.once(inner, "_doc", grams.let(grams.buckets_of(grams.words(F.col("_doc")[text_col]), buckets), member).alias("m"))
 
 
-def rate(p: Column, history: list[list[float]], momentum: list[float], at_probe: bool = False) -> Column:
-    """A document's rate after the recorded steps (or the point where the next gradient is taken)."""
+def state(p: Column, history: list[list[float]], momentum: list[float], start: Column | None = None) -> Column:
+    """A document's rate r after the recorded steps and the point y where the next gradient is taken."""
     if not history:
-        return F.lit(1.0)
+        return F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y")) if start is None else start
     steps = F.from_json(F.lit(str([g + [b] for g, b in zip(history, momentum, strict=True)])), "array<array<double>>")
 
     def step(a, g):
@@ -95,23 +94,28 @@ def rate(p: Column, history: list[list[float]], momentum: list[float], at_probe:
         new = F.least(F.lit(MOST_RATE), F.greatest(F.lit(0.0), a["y"] - move))
         return F.struct(new.alias("r"), (new + g[len(history[0])] * (new - a["r"])).alias("y"))
 
-    zero = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))
-    return F.aggregate(steps, zero, step, lambda a: a["y" if at_probe else "r"])
+    zero = start if start is not None else F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))
+    return F.aggregate(steps, zero, step)
 
 
 def fit_rates(members: DataFrame, targets: dict, steps: int = STEPS, epochs: float = EPOCHS) -> tuple[list, list, dict]:
-    """Residual vectors and momenta of all steps over (tokens, p), and the fit's totals."""
+    """Residual vectors and momenta of all steps over a written table (tokens, p), and the fit's totals.
+
+    Every few steps the documents' states are written, so a step folds over few vectors.
+    """
     names = list(DOMAINS)
 
-    def sums(r: Column) -> list[float]:
-        row = members.agg(*[F.coalesce(F.sum(F.col("tokens") * F.col("p")[k] * r), F.lit(0.0)) for k in range(len(names))]).first()
+    def sums(table: DataFrame, r: Column) -> list[float]:
+        made = table.select("tokens", "p", r.alias("r"))
+        row = made.agg(*[F.coalesce(F.sum(F.col("tokens") * F.col("p")[k] * F.col("r")), F.lit(0.0)) for k in range(len(names))]).first()
         return [float(x) for x in row]
 
-    now = sums(F.lit(1.0))
+    now = sums(members, F.lit(1.0))
     wanted = [targets[d] for d in names]
     goal = [epochs * sum(now) * w / (sum(wanted) or 1.0) for w in wanted]
     scale = [max(a, b, LEAST_SHARE * sum(now), 1.0) for a, b in zip(now, goal, strict=True)]
     history, momentum, at, t = [], [], now, 1.0
+    table, start, done = members, None, 0
     for _ in range(steps):
         g = [(a - b) / n for a, b, n in zip(at, goal, scale, strict=True)]
         if max(abs(x) for x in g) < CLOSE:
@@ -120,8 +124,12 @@ def fit_rates(members: DataFrame, targets: dict, steps: int = STEPS, epochs: flo
         history.append(g)
         momentum.append((t - 1) / following)
         t = following
-        at = sums(rate(F.col("p"), history, momentum, at_probe=True))
-    return history, momentum, {"before": dict(zip(names, now, strict=True)), "goal": dict(zip(names, goal, strict=True)), "after": dict(zip(names, sums(rate(F.col("p"), history, momentum)) if history else now, strict=True))}
+        if len(history) - done == WRITE_EVERY:
+            table = store.written(table.select("tokens", "p", state(F.col("p"), history[done:], momentum[done:], start).alias("s")), "states")
+            start, done = F.col("s"), len(history)
+        at = sums(table, state(F.col("p"), history[done:], momentum[done:], start)["y"])
+    after = sums(table, state(F.col("p"), history[done:], momentum[done:], start)["r"])
+    return history, momentum, {"before": dict(zip(names, now, strict=True)), "goal": dict(zip(names, goal, strict=True)), "after": dict(zip(names, after, strict=True))}
 
 
 def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict | None = None, steps: int = STEPS, epochs: float = EPOCHS) -> DataFrame:
@@ -134,9 +142,9 @@ def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """
     row, prior = fit(docs, labels, id_col, text_col)
     row = store.written(row, "classifier")
-    judged = with_posteriors(docs, row, prior, text_col)
-    members = store.written(judged.select("m.tokens", "m.p"), "members")
-    history, momentum, _ = fit_rates(members, targets or TARGETS, steps, epochs)
-    r = rate(F.col("m.p"), history, momentum)
+    # texts are classified once; the steps read only the two narrow columns of what is written
+    judged = store.written(with_posteriors(docs, row, prior, text_col).select("_doc", "m.tokens", "m.p"), "members")
+    history, momentum, _ = fit_rates(judged.select("tokens", "p"), targets or TARGETS, steps, epochs)
+    r = state(F.col("p"), history, momentum)["r"]
     u = F.pmod(F.xxhash64(F.col("_doc")[id_col], F.lit(77)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return judged.withColumn("rate", r).select("_doc", "m.tokens", "m.p", "rate", F.floor(F.col("rate") + u).cast("int").alias("copies"))
+    return judged.withColumn("rate", r).select("_doc", "tokens", "p", "rate", F.floor(F.col("rate") + u).cast("int").alias("copies"))

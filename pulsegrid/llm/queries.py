@@ -51,7 +51,7 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posteriors, rates and copies of all documents for the production targets."""
-    made = mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    made = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return made.select("_doc.doc_id", "tokens", *[F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(mixing.DOMAINS)], "rate", "copies")
 
 
