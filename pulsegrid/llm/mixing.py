@@ -25,8 +25,8 @@ from . import grams, store
 #: wanted over tokens there, and the relative residual at which the steps end.
 BUCKETS, LABELLED, SMOOTHING, SHRINK, EVIDENCE, STEPS, EPOCHS, CLOSE = 8192, 20_000, 0.5, 0.7, 250.0, 30, 1.2, 1e-3
 #: No document more often than this; a domain's residual counts as at least this share of all tokens;
-#: steps after which states are written.
-MOST_RATE, LEAST_SHARE, WRITE_EVERY = 4.0, 0.01, 6
+#: steps after which states are written; labelled texts that must have a bucket for it to count.
+MOST_RATE, LEAST_SHARE, WRITE_EVERY, LEAST_SEEN = 4.0, 0.01, 6, 5
 #: Domains of the labelled table and their target shares of tokens.
 DOMAINS = ("good", "low", "toxic")
 TARGETS = {"good": 0.90, "low": 0.01, "toxic": 0.09}
@@ -56,7 +56,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         # the domain's estimate leans on the whole sample's, so rare words carry little
         share = F.exp(base)
         x = F.log((F.col(f"n_{d}") + share * buckets) / F.lit(float(totals[d] + buckets))) - base
-        return F.signum(x) * F.greatest(F.abs(x) - F.lit(SHRINK), F.lit(0.0))
+        return F.when(row >= LEAST_SEEN, F.signum(x) * F.greatest(F.abs(x) - F.lit(SHRINK), F.lit(0.0))).otherwise(F.lit(0.0))
 
     weights = counts.select("bucket", *[ratio(d).alias(d) for d in DOMAINS])
     prior = {d: math.log((size.get(d, 0) + 1) / (n + len(DOMAINS))) for d in DOMAINS}

@@ -277,6 +277,7 @@ def ask(table: DataFrame, emit, reduce, text_bytes: int, name: str) -> tuple[str
     from .sequences import filesystem
 
     spark = table.sparkSession
+    release(spark)  # the round before is answered: its shuffle files can go
     parts, path = shuffled(spark, text_bytes), fresh(spark, name)
     sent = per_block(table, lambda b: ((int(k), int(b.block), p) for k, p in emit(b)), "bucket int, block long, payload binary")
 
@@ -339,6 +340,7 @@ def deliver(df: DataFrame, name: str) -> str:
     from .sequences import filesystem
 
     spark = df.sparkSession
+    release(spark)
     path, parts = fresh(spark, name), int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
