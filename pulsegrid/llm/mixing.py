@@ -23,7 +23,7 @@ from . import grams, store
 #: Buckets of the classifier, most labelled rows it is fitted on (smallest hashes), smoothing,
 #: the shrinkage of its weights, the words a text's evidence counts for at most, steps, tokens
 #: wanted over tokens there, and the relative residual at which the steps end.
-BUCKETS, LABELLED, SMOOTHING, SHRINK, EVIDENCE, STEPS, EPOCHS, CLOSE = 8192, 20_000, 0.5, 0.7, 250.0, 30, 1.2, 1e-3
+BUCKETS, LABELLED, SMOOTHING, SHRINK, EVIDENCE, STEPS, EPOCHS, CLOSE = 8192, 20_000, 0.5, 0.4, 250.0, 30, 1.2, 1e-3
 #: No document more often than this; a domain's residual counts as at least this share of all tokens;
 #: steps after which states are written; labelled texts that must have a bucket for it to count.
 MOST_RATE, LEAST_SHARE, WRITE_EVERY, LEAST_SEEN = 4.0, 0.01, 6, 5

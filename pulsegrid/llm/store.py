@@ -122,7 +122,7 @@ def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bloc
 
         def out():
             nonlocal number, ids, lengths, data, size, others
-            i, n = np.concatenate(ids), np.concatenate(lengths)
+            i, n = np.ma.concatenate(ids), np.concatenate(lengths)
             row = [(at.partitionId() << 32) + number, len(n), size, np.concatenate([i.filled(0), np.ma.getmaskarray(i).astype(np.int64)]).astype(np.int64).tobytes(), n.tobytes(), zstandard.ZstdCompressor(level=1).compress(np.concatenate(data).tobytes())]
             if whole_rows:
                 column = pa.concat_arrays(others)

@@ -119,7 +119,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
             nonlocal held, size, number
             name = f"part-{at.partitionId():06d}-{number:05d}.warc.zst"
             data = archive(held)
-            with fs.open_output_stream(f"{base}/.{at.taskAttemptId()}-{name}") as f:
+            # by itself the file system would compress a name like this once more
+            with fs.open_output_stream(f"{base}/.{at.taskAttemptId()}-{name}", compression=None) as f:
                 f.write(data)
             fs.move(f"{base}/.{at.taskAttemptId()}-{name}", f"{base}/{name}")
             row = (name, len(held), len(data))
@@ -157,7 +158,7 @@ def read_archives(spark: SparkSession, manifest: DataFrame, path: str, with_payl
         fs, base = filesystem(path)
         for r in store.rows(batches):
             def items(name=r["file"]):
-                with fs.open_input_stream(f"{base}/{name}") as f:
+                with fs.open_input_stream(f"{base}/{name}", compression=None) as f:
                     for data in read_archive(f):
                         h, block = parse(data)
                         digest, n = h["WARC-Payload-Digest"].removeprefix("sha256:"), int(h["X-Payload-Length"])
