@@ -1 +1 @@
-"""See the README for what lives here."""
+"""The step graph, its artifact store, and the imaging steps."""

@@ -1 +1 @@
-"""See the README for what lives here."""
+"""Acquisition folders, moment files, batches, settings, and sinks."""
