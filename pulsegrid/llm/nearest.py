@@ -19,7 +19,7 @@ from . import store
 
 #: Pivots, places kept of each order, share of a shard's vectors that are reranked (and the
 #: least number), vectors of a shard, queries of a block; pivots are fitted on a sample this large.
-PIVOTS, PLACES, RERANK, RERANK_LEAST, SHARD_ROWS, QUERY_ROWS, SAMPLE = 256, 32, 0.06, 512, 8192, 512, 4096
+PIVOTS, PLACES, RERANK, RERANK_LEAST, SHARD_ROWS, QUERY_ROWS, SAMPLE = 256, 64, 0.15, 512, 8192, 512, 4096
 
 
 def usable(df: DataFrame, vec_col: str) -> DataFrame:
