@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -17,6 +17,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def once(df: DataFrame, *columns) -> DataFrame:
+    """Select columns whose values later steps use as they are.
+
+    Catalyst would otherwise copy a dear expression into every filter and lambda above it; it
+    copies nothing out of a projection that also numbers its rows.
+    """
+    return df.select(*columns, F.monotonically_increasing_id().alias("_once")).where("_once >= 0").drop("_once")
+
+
 def doubles(x: Column) -> Column:
     return x.cast("array<double>")
 

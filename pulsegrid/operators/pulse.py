@@ -135,11 +135,11 @@ def pre_masks(branches: DataFrame, labels: DataFrame, length: int, rate: float,
     The dominant period is that of the mean z-scored branch.  Constant branches are left out.
     If no branch of an acquisition is periodic, all count as valid.
     """
-    z = branches.withColumn("x", A.zscore(F.col("x"))).where(~F.exists("x", lambda v: v.isNull()))
+    z = A.once(branches, "acq_id", "branch", A.zscore(F.col("x")).alias("x")).where(~F.exists("x", lambda v: v.isNull()))
     mean = z.select("acq_id", F.posexplode("x").alias("t", "v")).groupBy("acq_id", "t").agg(F.avg("v").alias("v")).groupBy("acq_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("t", "v"))), lambda p: p["v"]).alias("m"))
     periods = mean.select("acq_id", period(F.col("m"), length, rate).alias("period"))
     # one value computed once: a lambda's argument isn't copied into the expressions that use it
     fixed = A.let(A.heartbeat_correction(F.col("x"), F.col("period"), length, soft), lambda c: F.struct(c.alias("corrected"), A.artery_vote(c, F.col("period")).alias("artery"), is_periodic(c, length, rate).alias("valid")))
-    judged = z.join(periods, "acq_id").select("acq_id", "branch", "x", "period", fixed.alias("f")).select("acq_id", "branch", "x", "period", "f.*")
+    judged = A.once(z.join(periods, "acq_id"), "acq_id", "branch", "x", "period", fixed.alias("f")).select("acq_id", "branch", "x", "period", "f.*")
     some = judged.groupBy("acq_id").agg(F.bool_or("valid").alias("some"))
     return judged.join(some, "acq_id").withColumn("valid", F.col("valid") | ~F.col("some")).drop("some")

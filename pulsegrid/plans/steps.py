@@ -176,9 +176,9 @@ def vessel_velocity(have, config):
 
 def arterial_waveform(have, config):
     """Filtered signal, beats of 128 points (a last row of zeros stands for the unfinished beat), beat marks."""
-    x = A.binomial(F.col("x"))
-    rows = have["retinal_artery_velocity_signal"].withColumn("filtered", x).withColumn("peaks", pulse.waveform_systole(F.col("x"), distance=int(setting(config, "Waveform.Distance", 40))))
-    made = rows.withColumn("beats", F.when(F.size("peaks") > 0, F.concat(A.beats(F.col("filtered"), F.col("peaks"), 128), F.array(F.array_repeat(F.lit(0.0), 128)))).otherwise(F.array().cast("array<array<double>>")))
+    marks = pulse.waveform_systole(F.col("x"), distance=int(setting(config, "Waveform.Distance", 40)))
+    rows = kept(config, A.once(have["retinal_artery_velocity_signal"], "acq_id", A.binomial(F.col("x")).alias("filtered"), marks.alias("peaks")))
+    made = A.once(rows, "acq_id", F.when(F.size("peaks") > 0, F.concat(A.beats(F.col("filtered"), F.col("peaks"), 128), F.array(F.array_repeat(F.lit(0.0), 128)))).otherwise(F.array().cast("array<array<double>>")).alias("beats"))
     gaps = F.transform(F.slice(F.col("peaks"), F.lit(2), F.greatest(F.size("peaks") - 1, F.lit(0))), lambda p, i: (p - F.get("peaks", i)) * config["batch_stride"] / float(config["sampling_freq"]))
     return {
         "retinal_artery_velocity_signal_filtered": rows.select("acq_id", F.col("filtered").alias("x")),

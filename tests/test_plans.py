@@ -143,25 +143,56 @@ def synthetic(n=80, size=20, rate=40.0, beats_hz=1.25):
     return {0: m0, 1: m0 * 0.1, 2: m2}
 
 
-def test_the_whole_chain(spark, tmp_path):
-    size, n = 20, 80
-    frames = moments.pixels(moments.from_arrays(spark, "a", synthetic(n, size)))
-    mask = spark.createDataFrame([("a", y, x, 0.9) for y in range(2, 18) for x in [*range(5, 8), *range(12, 15)]], "acq_id string, y int, x int, v double")
-    config = {"shape": [n, size, size], "sampling_freq": 40.0, "batch_stride": 1.0, "vessel_probability": mask, "acquisitions": ["a"], "Mask": {"DiaphragmRadius": 0.8}, "Waveform": {"Distance": 20}}
-    store = Artifacts(spark, str(tmp_path / "out"))
-    store.put("frames", frames)
-    events = []
-    e = Engine(graph(), store, config)
-    out = e.run(["retinal_vessel_segmentation"], lambda *x: events.append(x))
-    assert out["retinal_vessel_mask"].count() == 48  # the larger (first) of two equal tubes
-    assert [x[1] for x in events if x[0] == "step_done"][0] == "read_moments"
+@pytest.fixture(scope="module")
+def scene(spark):
+    """Cached videos, masks and settings of the synthetic acquisition."""
+    n, size = 80, 20
+    rows = moments.pixels(moments.from_arrays(spark, "a", synthetic(n, size))).cache()
+    videos = {m: rows.where(f"moment = {m}").select("acq_id", "t", "y", "x", "v") for m in (0, 2)}
+    place = [("a", y, x) for y in range(2, 18) for x in [*range(5, 8), *range(12, 15)]]
+    mask = lambda keep: spark.createDataFrame([p for p in place if keep(p[2])], "acq_id string, y int, x int").coalesce(1).cache()
+    config = {"shape": [n, size, size], "sampling_freq": 40.0, "batch_stride": 1.0, "acquisitions": ["a"], "Waveform": {"Distance": 20}}
+    return rows, videos, mask, config
+
+
+def test_the_graph_of_the_shipped_steps():
+    g = graph()
+    assert g.external == ["frames"] and len(g.order) == 9 and g.order[0] == "read_moments" and g.order[-1] == "arterial_waveform_analysis"
+    assert g.upstream(["optic_disc_detection"]) == g.order[:3]
+
+
+def test_flat_field_keeps_the_energy_inside_the_border(scene):
+    from pulsegrid.plans import steps
+
+    _, videos, _, _ = scene
+    some = videos[0].where("t < 4").withColumn("v", videos[0].v / 20)
+    flat = steps.flat_field(some, 20, 20, 1.4)
     border = lambda d: d.where("y >= 3 and y < 17 and x >= 3 and x < 17").groupBy().sum("v").first()[0]
-    assert np.isclose(border(out["M0_ff_video"]), border(out["moment0"]), rtol=0.2)
-    both = spark.createDataFrame([("a", y, x, 1 if x < 10 else 2) for y in range(2, 18) for x in [*range(5, 8), *range(12, 15)]], "acq_id string, y int, x int, v int")
-    config["av_class"] = both
-    out = e.run()
-    assert out["retinal_artery_mask"].count() == 48 and out["retinal_vein_mask"].count() == 48
-    beats = [r["t"] for r in out["beat_indices"].orderBy("t").collect()]
+    assert np.isclose(border(flat), border(some), rtol=1e-9) and flat.count() == some.count()
+
+
+def test_branches_and_votes(spark, scene, tmp_path):
+    from pulsegrid.plans import steps
+
+    _, videos, mask, config = scene
+    store = Artifacts(spark, str(tmp_path))
+    out = steps.pre_artery({"M0_ff_video": videos[0], "retinal_vessel_mask": mask(lambda x: True)}, config | {"keep": store.keep})
+    assert out["branch_signals"].select("branch").distinct().count() >= 2
+    artery = {(r["y"], r["x"]) for r in out["pre_artery_mask"].collect()}
+    assert artery and all(x < 10 for _, x in artery)
+
+
+def test_velocity_and_waveform(spark, scene, tmp_path):
+    from pulsegrid.plans import steps
+
+    _, videos, mask, config = scene
+    config = config | {"keep": Artifacts(spark, str(tmp_path)).keep}
+    out = steps.vessel_velocity({"M0_ff_video": videos[0], "M2_ff_video": videos[2], "retinal_artery_mask": mask(lambda x: x < 10), "retinal_vein_mask": mask(lambda x: x > 10)}, config)
+    signal = out["retinal_artery_velocity_signal"].cache()
+    assert len(signal.first()["x"]) == 80
+    made = steps.arterial_waveform({"retinal_artery_velocity_signal": signal}, config)
+    beats = [r["t"] for r in made["beat_indices"].orderBy("t").collect()]
     assert len(beats) >= 2 and all(abs(b - a - 32) <= 2 for a, b in zip(beats, beats[1:], strict=False))
-    rows = out["retinal_artery_velocity_signal_perbeat"].orderBy("beat").collect()
+    rows = made["retinal_artery_velocity_signal_perbeat"].orderBy("beat").collect()
     assert len(rows) == len(beats) and set(rows[-1]["x"]) == {0.0} and all(len(r["x"]) == 128 for r in rows)
+    assert [r["seconds"] for r in made["time_per_beat"].collect()] == [(b - a) / 40 for a, b in zip(beats, beats[1:], strict=False)]
