@@ -128,15 +128,14 @@ def test_streaming_equals_batch(spark, tmp_path):
 
 
 def synthetic(n=80, size=20, rate=40.0, beats_hz=1.25):
-    """A steep artery tube and a slow vein tube over a smooth background."""
+    """An artery tube with a steep rise and a vein tube with a steep fall over a smooth background."""
     t = np.arange(n) / rate
     phase = (t * beats_hz) % 1
     artery = np.where(phase < 0.15, phase / 0.15, np.exp(-(phase - 0.15) * 4))
-    vein = np.where(phase < 0.6, phase / 0.6, (1 - phase) / 0.4)
     y, x = np.mgrid[:size, :size]
     m0 = np.full((n, size, size), 10.0) + 0.02 * x + 0.01 * y
     m0[:, 2:18, 5:8] += 2 + artery[:, None, None]
-    m0[:, 2:18, 12:15] += 2 - 0.8 * vein[:, None, None]
+    m0[:, 2:18, 12:15] += 2 - 0.8 * artery[:, None, None]
     m0 += 0.01 * np.random.default_rng(0).normal(size=m0.shape)
     m2 = m0 * 4
     m2[:, 2:18, 5:8] *= (1.5 + 0.5 * artery)[:, None, None]
