@@ -1,7 +1,7 @@
 """Probabilistic suffix tree language model (op1).
 
 Symbols are lower-cased words and one end of each text.  States are the empty context, and
-contexts of one or two symbols that occur often enough (in number and as a share of all tokens) and pass a divergence test: the mean
+contexts of one or two symbols that occur often enough and pass a divergence test: the mean
 log-ratio, with each occurrence left out in turn, of the state's smoothed next-symbol
 distribution over that of its longest retained suffix.  Each state's distribution is its
 counts with a prior of fixed weight spread as its parent's distribution; the empty context has
@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame
 from . import store
 from .text import chain, second, splits
 
-#: Least occurrences of a context and least share of all tokens (so a level has at most 1 / SHARE
-#: contexts), weight of a parent's distribution, least divergence (nats per symbol).
-LEAST, SHARE, PRIOR, DIVERGENCE = 24, 1e-6, 16.0, 0.02
+#: Least occurrences of a context (alike at every size, so the model grows with the corpus), weight
+#: of a parent's distribution, least divergence (nats per symbol).
+LEAST, PRIOR, DIVERGENCE = 24, 16.0, 0.02
 #: Remainders of crc32(id) modulo FOLDS: the held-out one.
 FOLDS, HELD_OUT = 7, 2
 _END = np.uint64(0x7B1D3F5A9C2E4680)
@@ -100,8 +100,8 @@ def add_values(members: list[tuple]):
 class Reading:
     """What one block knows of the model after the rounds whose answers it is given."""
 
-    def __init__(self, block: store.Block, buckets: int, least: int, share: float, prior: float, divergence: float):
-        self.block, self.buckets, self.least, self.share, self.prior, self.divergence = block, buckets, least, share, prior, divergence
+    def __init__(self, block: store.Block, buckets: int, least: int, prior: float, divergence: float):
+        self.block, self.buckets, self.least, self.prior, self.divergence = block, buckets, least, prior, divergence
         words = block.words(lower=True)
         n = words.counts()
         self.first = words.offsets[:-1] + np.arange(len(n))
@@ -126,7 +126,6 @@ class Reading:
         """Round 1: counts of symbols, so root probabilities and counts of one-symbol contexts."""
         count, _ = self._answers(self.ones, replies)
         self.count = count[self.ones.row]
-        self.least = max(self.least, int(np.ceil(self.share * tokens)))
         self.root = (self.count + 1) / (tokens + kinds + 1)
         here = np.flatnonzero(self.at >= 1)
         self.i2 = here[self.count[here - 1] >= self.least]
@@ -192,7 +191,7 @@ def _values(routed: Routed, value: np.ndarray):
         yield b, store.pack(routed.keys[s], value[s])
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, share: float = SHARE, prior: float = PRIOR, divergence: float = DIVERGENCE, block_bytes: int = store.BLOCK_BYTES) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, prior: float = PRIOR, divergence: float = DIVERGENCE, block_bytes: int = store.BLOCK_BYTES) -> DataFrame:
     """Train on the texts outside the held-out fold and score all.
 
     Returns id_col, held_out, n_tokens (words and the end), n_known (tokens seen in training),
@@ -207,7 +206,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     buckets = store.bucket_count(size)
 
     def reading(block, *rounds):
-        r = Reading(block, buckets, least, share, prior, divergence)
+        r = Reading(block, buckets, least, prior, divergence)
         steps = [lambda p: r.take_ones(store.answers_of(p, block.block), *known), lambda p: r.take_twos(store.answers_of(p, block.block)), lambda p: r.take_threes(store.answers_of(p, block.block)), lambda p: r.take_tests(store.answers_of(p, block.block))]
         for step, path in zip(steps, rounds, strict=False):
             step(path)

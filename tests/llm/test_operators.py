@@ -26,7 +26,7 @@ def rows(df, key="doc_id"):
 
 def test_suffix_tree(docs, texts):
     least, prior, limit = 4, 8.0, 0.02
-    got = rows(suffix.score_texts(docs, least=least, share=0.0, prior=prior, divergence=limit, block_bytes=SMALL))
+    got = rows(suffix.score_texts(docs, least=least, prior=prior, divergence=limit, block_bytes=SMALL))
     seq = [words(t, True) + [None] for t in texts]
     held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
     c1, c2, c3 = Counter(), Counter(), Counter()
@@ -282,7 +282,7 @@ def test_permutation_index(spark):
 
 
 def test_odd_rows(spark, odd):
-    assert odd.count() == suffix.score_texts(odd, share=0.0).count() == pack.pack_documents(odd, queries.tokenizer()).count() == shards.shard_documents(odd, 3).count()
+    assert odd.count() == suffix.score_texts(odd).count() == pack.pack_documents(odd, queries.tokenizer()).count() == shards.shard_documents(odd, 3).count()
     got = near.near_duplicates(odd).collect()
     assert len(got) == 8 and {r["component_id"] for r in got if r["doc_id"] in (3, 5)} == {3} and all(r["component_id"] is None and r["kept"] for r in got if r["doc_id"] is None)
     assert len(near.keep_one(odd).collect()) == 5
