@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text in a block, and of text for which one hash bucket is opened.
 BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 12 << 20
+#: Whether Spark removes an execution's shuffle files at its end.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BLOCK = "block long, n long, bytes long, ids binary, lengths binary, data binary"
 
 
@@ -42,10 +44,17 @@ def fresh(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, written to the shared folder and read back: lineage ends here."""
+    """The same rows, written to the shared folder and read back: lineage ends here.
+
+    Once they are written, nothing needs the shuffle files behind them, so Spark removes those.
+    """
     spark = df.sparkSession
-    path = fresh(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    path, before = fresh(spark, name), spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._pulsegrid_path = path
     return out
