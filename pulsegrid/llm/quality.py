@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from . import grams
 
-#: Buckets, most trusted documents (those with the smallest hashes of their ids), smoothing, least mean log-ratio.
-BUCKETS, TRUSTED, SMOOTHING, THRESHOLD = 8192, 20_000, 1.0, -0.25
+#: Buckets, most trusted documents (those with the smallest hashes of their ids), smoothing, least mean log-ratio
+#: (where labelled texts separate, also those held out of the fit; README).
+BUCKETS, TRUSTED, SMOOTHING, THRESHOLD = 8192, 20_000, 1.0, -0.05
 #: Fixed values of the base rules.
 LEAST_WORDS, MOST_REPEATED_PERCENT, REPEAT_WINDOW = 20, 30, 8
 

@@ -245,6 +245,22 @@ def test_quality(spark, docs, texts):
     assert {"block", "rate"} <= set(got[0])
 
 
+def test_quality_separates_labelled_documents(spark):
+    rng = np.random.default_rng(4)
+    clean = [f"c{i}" for i in range(30)]
+    texts = [rng.choice(clean, 300).tolist() for _ in range(260)]
+    for i in range(0, 260, 10):  # a few junk words dilute over a clean text
+        for k in rng.choice(300, 25, replace=False):
+            texts[i][k] = f"{rng.choice(clean)}%%%"
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 > 0), 0) for i in range(230)], "doc_id long, quality int, toxic int")
+    got = rows(quality.score_quality(docs, labels))
+    assert not any(r["rules"]["base_failed"] for r in got.values())
+    low = [r["rules"]["llr"] for i, r in got.items() if i % 10 == 0]
+    assert min(low) > -0.25  # an older threshold kept them all
+    assert {i for i, r in got.items() if not r["rules"]["kept"]} == set(range(0, 260, 10))
+
+
 def test_mixing_fits_its_targets(spark):
     rng = np.random.default_rng(3)
     good, low = [f"g{i}" for i in range(40)], [f"l{i}" for i in range(40)]
