@@ -74,29 +74,33 @@ def best_fit(histogram: dict[int, int], capacity: int = CAPACITY, most_docs: int
                 # more free tokens can only be worse once tokens alone exceed the best score
                 if best and rule == "norm" and w_tokens * ((free + 1 - length) / capacity) ** 2 > best[0][0]:
                     break
+            if best is None:  # new bins are all that takes the items left of this length
+                free, docs, cost, first, number = capacity, 0, 0, bins, left
+            else:
+                _, free, docs, cost = best
+                first, number = open_bins[free][(docs, cost)][0]
+            # the norm of a bin that took an item falls further, so it takes the next one too; the dot
+            # product falls, so an equal bin goes first, but a new bin alone is filled like that as well
+            deep = min(free // length, most_docs - docs, (most_cost - cost) // square) if rule == "norm" or best is None else 1
+            deep = min(deep, left)
+            used = min(number, left // deep)
             if best is None:
-                fit = max(1, min(capacity // length, most_docs, most_cost // square))
-                number = -(-left // fit) if rule == "norm" and fit > 1 and capacity - fit * length < length and not frees else left
-                number = min(left, max(1, number))
-                out.append((length, rank, number, bins, 0))
-                put(capacity - length, 1, square, bins, number)
-                bins += number
-                rank, left = rank + number, left - number
-                continue
-            _, free, docs, cost = best
-            runs = open_bins[free][(docs, cost)]
-            first, number = runs.pop(0)
-            used = min(number, left)
-            if used < number:
-                runs.insert(0, (first + used, number - used))
-            if not runs:
-                del open_bins[free][(docs, cost)]
-                if not open_bins[free]:
-                    frees.pop(bisect.bisect_left(frees, free))
-            out.append((length, rank, used, first, capacity - free))
-            rank, left = rank + used, left - used
-            if free > length:
-                put(free - length, docs + 1, cost + square, first, used)
+                bins += used
+            else:
+                runs = open_bins[free][(docs, cost)]
+                runs.pop(0)
+                if used < number:
+                    runs.insert(0, (first + used, number - used))
+                if not runs:
+                    del open_bins[free][(docs, cost)]
+                    if not open_bins[free]:
+                        frees.pop(bisect.bisect_left(frees, free))
+            for k in range(deep):
+                out.append((length, rank, used, first, capacity - free + k * length))
+                rank += used
+            left -= used * deep
+            if free > deep * length:
+                put(free - deep * length, docs + deep, cost + deep * square, first, used)
     return out
 
 

@@ -177,6 +177,41 @@ def test_best_fit_respects_every_capacity():
             assert at <= 100 and len(items) <= 4 and sum(n * n for _, n in items) <= 10_000
 
 
+def one_by_one(hist, capacity, rule, weights=pack.WEIGHTS):
+    """Bins of best fit item by item, with as many documents and as much cost as there are tokens allow."""
+    docs, cost, bins = capacity, capacity * capacity, []
+    for length in sorted(hist, reverse=True):
+        for _ in range(hist[length]):
+            best = None
+            for k, (t, d, c) in enumerate(bins):
+                if t + length <= capacity and d < docs and c + length**2 <= cost:
+                    left = np.array([(capacity - t) / capacity, (docs - d) / docs, (cost - c) / cost])
+                    item = np.array([length / capacity, 1 / docs, length**2 / cost])
+                    key = (-(weights * left * item).sum() if rule == "dot" else (weights * (left - item) ** 2).sum(), capacity - t, k)
+                    best = min(best or key, key)
+            if best is None:
+                bins.append((0, 0, 0))
+            k = best[2] if best else len(bins) - 1
+            bins[k] = (bins[k][0] + length, bins[k][1] + 1, bins[k][2] + length**2)
+    return len(bins)
+
+
+def bins_of(plan):
+    return max(first + number for _, _, number, first, _ in plan)
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_best_fit_fills_the_bins_it_opens(rule):
+    # a dominant short length beside a longer one that leaves bins open
+    plan = pack.best_fit({1500: 10, 100: 100_000}, rule=rule)
+    assert sum(n for length, _, n, _, _ in plan if length == 100) == 100_000
+    assert bins_of(plan) == 10 + math.ceil((100_000 - 10 * 5) / 20)
+    rng = np.random.default_rng(1)
+    for _ in range(6):
+        hist = Counter(rng.integers(1, 101, 60).tolist()) + Counter({int(rng.integers(5, 40)): 90})
+        assert bins_of(pack.best_fit(hist, 100, 100, 10_000, rule)) == one_by_one(hist, 100, rule)
+
+
 def encoded(texts, end):
     from tokenizers import Tokenizer
 
