@@ -21,15 +21,15 @@ from pyspark.sql import functions as F
 from . import grams, store
 
 #: Buckets of the classifier, most labelled rows it is fitted on (smallest hashes), smoothing,
-#: the shrinkage of its weights, the words a text's evidence counts for at most, steps, tokens
+#: the shrinkage of its weights, the texts that a bucket's prior counts for, steps, tokens
 #: wanted over tokens there, and the relative residual at which the steps end.
-BUCKETS, LABELLED, SMOOTHING, SHRINK, EVIDENCE, STEPS, EPOCHS, CLOSE = 8192, 20_000, 0.5, 0.4, 250.0, 30, 1.2, 1e-3
+BUCKETS, LABELLED, SMOOTHING, SHRINK, PRIOR, STEPS, EPOCHS, CLOSE = 65_536, 20_000, 0.5, 0.5, 14.0, 30, 1.2, 1e-3
 #: No document more often than this; a domain's residual counts as at least this share of all tokens;
 #: steps after which states are written; labelled texts that must have a bucket for it to count.
 MOST_RATE, LEAST_SHARE, WRITE_EVERY, LEAST_SEEN = 4.0, 0.01, 6, 5
 #: Domains of the labelled table and their target shares of tokens.
 DOMAINS = ("good", "low", "toxic")
-TARGETS = {"good": 0.90, "low": 0.01, "toxic": 0.09}
+TARGETS = {"good": 0.97, "low": 0.01, "toxic": 0.02}
 
 
 def domain(quality: Column, toxic: Column) -> Column:
@@ -48,14 +48,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     totals = counts.agg(*[F.coalesce(F.sum(f"n_{d}"), F.lit(0)).alias(d) for d in DOMAINS]).first().asDict()
     size = {r["domain"]: r["count"] for r in rows.groupBy("domain").count().collect()}  # one row for each domain
     everything = sum(totals.values())
-    a, n = smoothing, sum(size.values())
+    n = sum(size.values())
     row = sum((F.col(f"n_{d}") for d in DOMAINS), F.lit(0))
-    base = F.log((row + a) / F.lit(float(everything + a * buckets) or 1.0))
 
     def ratio(d):
-        # the domain's estimate leans on the whole sample's, so rare words carry little
-        share = F.exp(base)
-        x = F.log((F.col(f"n_{d}") + share * buckets) / F.lit(float(totals[d] + buckets))) - base
+        # the domain's share of a bucket leans on its share of everything, so rare words carry little
+        share = F.lit((totals[d] + smoothing) / (everything + smoothing * len(DOMAINS)))
+        x = F.log((F.col(f"n_{d}") + share * PRIOR) / ((row + PRIOR) * share))
         return F.when(row >= LEAST_SEEN, F.signum(x) * F.greatest(F.abs(x) - F.lit(SHRINK), F.lit(0.0))).otherwise(F.lit(0.0))
 
     weights = counts.select("bucket", *[ratio(d).alias(d) for d in DOMAINS])
@@ -69,9 +68,7 @@ def with_posteriors(docs: DataFrame, row: DataFrame, prior: dict, text_col: str
 
     def member(places):
         def posterior(b):
-            # all of a short text's evidence, a longer one's in proportion
-            scale = F.least(F.lit(1.0), F.sqrt(F.lit(EVIDENCE) / F.greatest(F.size(b), F.lit(1))))
-            logs = F.array(*[grams.total(b, F.col(d)) * scale + F.lit(prior[d]) for d in DOMAINS])
+            logs = F.array(*[grams.total(b, F.col(d)) + F.lit(prior[d]) for d in DOMAINS])
 
             def normal(x):
                 return grams.let(F.transform(x, lambda v: F.exp(v - F.array_max(x))), lambda e: F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda s, y: s + y)))

@@ -312,6 +312,22 @@ def test_mixing_fits_its_targets(spark):
     assert (rate >= 0).all() and all(abs(r["copies"] - r["rate"]) <= 1 for r in got)
 
 
+def test_mixing_drops_toxic_documents(spark):
+    rng = np.random.default_rng(6)
+    plain, insults = [f"g{i}" for i in range(400)], [f"t{i}" for i in range(8)]
+    texts = []
+    for i in range(400):  # short and long texts; a toxic one has a few insults in it
+        w = rng.choice(plain, 1500 if i % 3 == 0 else 60).tolist()
+        for k in rng.choice(60, 4, replace=False) if i % 8 == 0 else []:
+            w[k] = str(rng.choice(insults))
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 8 == 0)) for i in range(200)], "doc_id long, quality int, toxic int")
+    got = {r["_doc"]["doc_id"]: r for r in mixing.mix(docs, labels).collect()}
+    assert all(got[i]["rate"] == 0 and got[i]["copies"] == 0 for i in range(0, 400, 8))
+    assert all(r["rate"] >= 1 and r["copies"] >= 1 for i, r in got.items() if i % 8)
+
+
 def test_permutation_index(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(700, 16)).astype(np.float32)
