@@ -3,7 +3,7 @@
 DataFrame functions only.  A classifier fitted on a bounded sample of the labelled table gives
 every document's domain posteriors; nonnegative rates r minimise
 
-    sum over domains k of (sum_i tokens_i * p_ik * r_i - target_k)^2 / scale_k,  r_i <= MOST_RATE,
+    sum over domains k of (sum_i tokens_i * p_ik * r_i - target_k)^2 / scale_k,
 
 with scale_k the larger of what the domain has, its target and a least share, by accelerated projected gradient steps from r = 1.  A step moves a document's rate by its
 posteriors times one vector of domain residuals, so a rate is a fold over the residual vectors
@@ -13,6 +13,7 @@ comes to the driver.
 
 from __future__ import annotations
 
+import logging
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -24,9 +25,12 @@ from . import grams, store
 #: the shrinkage of its weights, the texts that a bucket's prior counts for, steps, tokens
 #: wanted over tokens there, and the relative residual at which the steps end.
 BUCKETS, LABELLED, SMOOTHING, SHRINK, PRIOR, STEPS, EPOCHS, CLOSE = 65_536, 20_000, 0.5, 0.5, 14.0, 30, 1.2, 1e-3
-#: No document more often than this; a domain's residual counts as at least this share of all tokens;
-#: steps after which states are written; labelled texts that must have a bucket for it to count.
-MOST_RATE, LEAST_SHARE, WRITE_EVERY, LEAST_SEEN = 4.0, 0.01, 6, 5
+#: A domain's residual counts as at least this share of all tokens; steps after which states are
+#: written; labelled texts that must have a bucket for it to count.
+LEAST_SHARE, WRITE_EVERY, LEAST_SEEN = 0.01, 6, 5
+#: A goal counts as missed by more than this share of all tokens wanted.
+MISSED = 0.01
+logger = logging.getLogger(__name__)
 #: Domains of the labelled table and their target shares of tokens.
 DOMAINS = ("good", "low", "toxic")
 TARGETS = {"good": 0.97, "low": 0.01, "toxic": 0.02}
@@ -88,7 +92,7 @@ def state(p: Column, history: list[list[float]], momentum: list[float], start: C
 
     def step(a, g):
         move = sum((p[k] * g[k] for k in range(len(history[0]))), F.lit(0.0))
-        new = F.least(F.lit(MOST_RATE), F.greatest(F.lit(0.0), a["y"] - move))
+        new = F.greatest(F.lit(0.0), a["y"] - move)
         return F.struct(new.alias("r"), (new + g[len(history[0])] * (new - a["r"])).alias("y"))
 
     zero = start if start is not None else F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))
@@ -133,7 +137,7 @@ def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """docs (struct column _doc) with tokens, p, rate and copies.
 
     The targets are shares of ``epochs`` times the tokens there are.  copies is the rate rounded up or down by the hash of the id, so that its expectation is the
-    rate.  A null or empty text has no tokens and the priors as posteriors.  Without labelled
+    rate.  Goal and reached tokens of each domain are logged, a missed goal as a warning.  A null or empty text has no tokens and the priors as posteriors.  Without labelled
     rows all posteriors are equal to the priors.  Rows with a null id are rounded by the hash
     of null; repeated rows get equal copies.  An empty table gives an empty result.
     """
@@ -141,7 +145,12 @@ def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     row = store.written(row, "classifier")
     # texts are classified once; the steps read only the two narrow columns of what is written
     judged = store.written(with_posteriors(docs, row, prior, text_col).select("_doc", "m.tokens", "m.p"), "members")
-    history, momentum, _ = fit_rates(judged.select("tokens", "p"), targets or TARGETS, steps, epochs)
+    history, momentum, totals = fit_rates(judged.select("tokens", "p"), targets or TARGETS, steps, epochs)
+    everything = sum(totals["goal"].values())
+    for d in DOMAINS:
+        goal, after = totals["goal"][d], totals["after"][d]
+        missed = abs(after - goal) > MISSED * everything
+        logger.log(logging.WARNING if missed else logging.INFO, "mixing %s: goal %.0f tokens, reached %.0f after %d steps%s", d, goal, after, len(history), ", missed" * missed)
     r = state(F.col("p"), history, momentum)["r"]
     u = F.pmod(F.xxhash64(F.col("_doc")[id_col], F.lit(77)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return judged.withColumn("rate", r).select("_doc", "tokens", "p", "rate", F.floor(F.col("rate") + u).cast("int").alias("copies"))

@@ -328,6 +328,21 @@ def test_mixing_drops_toxic_documents(spark):
     assert all(r["rate"] >= 1 and r["copies"] >= 1 for i, r in got.items() if i % 8)
 
 
+def test_mixing_reaches_or_reports_its_targets(spark, caplog):
+    rng = np.random.default_rng(3)
+    words_of = {1: [f"g{i}" for i in range(40)], 0: [f"l{i}" for i in range(40)]}
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(words_of[int(i % 12 == 0)], 60))) for i in range(240)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 12 == 0), 0) for i in range(240)], "doc_id long, quality int, toxic int")
+    wanted = {"good": 0.6, "low": 0.4, "toxic": 0.0}  # good is a twelfth: its documents are needed over four times
+    with caplog.at_level("INFO", mixing.__name__):
+        got = mixing.mix(docs, labels, targets=wanted, epochs=1.0, steps=100).collect()
+        reached = sum(r["tokens"] * r["p"][0] * r["rate"] for r in got) / sum(r["tokens"] for r in got)
+        assert abs(reached - 0.6) < 0.02 and max(r["rate"] for r in got) > 4
+        assert "goal" in caplog.text and "missed" not in caplog.text
+        mixing.mix(docs, labels, targets=wanted, epochs=1.0, steps=1)
+        assert "missed" in caplog.text
+
+
 def test_permutation_index(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(700, 16)).astype(np.float32)
