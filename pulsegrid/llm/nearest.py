@@ -87,7 +87,7 @@ class Shard:
         return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
-def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10, pivots: int = PIVOTS, places: int = PLACES, rerank: float = RERANK, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10, pivots: int = PIVOTS, places: int = PLACES, rerank: float = RERANK, shard_rows: int = SHARD_ROWS, rerank_least: int = RERANK_LEAST) -> DataFrame:
     """The k nearest vectors of each query by Euclidean distance, as the index finds them.
 
     Returns query_id, rank (from 1), vec_id, score; ties go to the smaller id; a query is no
@@ -132,7 +132,7 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_c
                 if len(ids) and (index or held):
                     if index is None:
                         index = Shard(*(np.concatenate(c) for c in zip(*held, strict=True)), centre, places)
-                    n = max(RERANK_LEAST, int(np.ceil(rerank * len(index.ids))))
+                    n = max(rerank_least, int(np.ceil(rerank * len(index.ids))))
                     for a in range(0, len(ids), QUERY_ROWS):
                         yield store.columns_batch(list(index.search(ids[a : a + QUERY_ROWS], q[a : a + QUERY_ROWS], k, n)), out_schema)
 

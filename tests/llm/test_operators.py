@@ -363,6 +363,22 @@ def test_permutation_index(spark):
     assert hit / 70 >= 0.9
 
 
+def test_permutation_index_finds_by_its_cut(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(40, 16)) * 3
+    x = (centres[rng.integers(0, 40, 3000)] + rng.normal(size=(3000, 16))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    # one shard, several times larger than the 15 % that are reranked
+    got = nearest.search(df, df.where("vec_id % 60 = 0"), shard_rows=8192, rerank_least=1).collect()
+    hit = 0
+    for q in range(0, 3000, 60):
+        d = ((x.astype(float) - x[q].astype(float)) ** 2).sum(1)
+        d[q] = np.inf
+        hit += len(set(np.argsort(d)[:10].tolist()) & {r["vec_id"] for r in got if r["query_id"] == q})
+    print("recall", hit / 500)
+    assert hit / 500 >= 0.9
+
+
 def test_odd_rows(spark, odd):
     assert odd.count() == suffix.score_texts(odd).count() == pack.pack_documents(odd, queries.tokenizer()).count() == shards.shard_documents(odd, 3).count()
     got = near.near_duplicates(odd).collect()
