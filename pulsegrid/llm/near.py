@@ -257,8 +257,8 @@ def _vertices(table: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     info = store.written(store.per_block(table, describe, "id long, n long, d1 long, d2 long, sig binary, block long, place int"), "signatures")
     key = ["n", "d1", "d2"]
     full = info.where("n > 0 and id is not null")
-    classes = full.groupBy(*key).agg(F.min(F.struct("id", "block", "place")).alias("r")).select(*key, F.col("r.id").alias("rep"), F.col("r.block").alias("block"), F.col("r.place").alias("place"))
-    # one signature for each class: join on its place, not its (perhaps repeated) id
+    classes = full.groupBy(*key).agg(F.min(F.struct("id", "block", "place")).alias("r")).select(*key, F.col("r.id").alias("first"), F.xxhash64("r.block", "r.place").alias("rep"), F.col("r.block").alias("block"), F.col("r.place").alias("place"))
+    # a class is known by its place: texts that share an id are several classes, one vertex only at the end
     reps = store.written(classes.join(info.select("block", "place", "sig"), ["block", "place"]), "representatives")
 
     def narrow(sig: DataFrame) -> DataFrame:
@@ -307,7 +307,7 @@ def _vertices(table: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     for e in edges[1:]:
         candidate = candidate.unionByName(e)
     groups = components(candidate).select(F.col("id").alias("rep"), F.col("component").alias("comp"))
-    groups = store.written(groups.join(reps.select("rep", "n", "block", "place").dropDuplicates(["rep", "block", "place"]), "rep").join(compact.dropDuplicates(["rep"]), "rep"), "candidates")
+    groups = store.written(groups.join(reps.select("rep", "n", "block", "place"), "rep").join(compact, "rep"), "candidates")
     load = groups.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / group_docs), F.ceil(F.sum(F.col("n") * 8) / GROUP_BYTES)).cast("int").alias("chunks"))
     load = store.written(load, "load")
 
@@ -339,11 +339,13 @@ def _vertices(table: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     if not big.isEmpty():
         links = links.unionByName(_large(store.written(sets(big), "sets"), percent, wide))
     found = components(links)
-    where = classes.select(*key, "rep").join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component"))
+    named = classes.select(*key, "rep", "first").join(found.select(F.col("id").alias("rep"), F.col("component").alias("linked")), "rep", "left")
+    lowest = named.where("linked is not null").groupBy("linked").agg(F.min("first").alias("low"))
+    where = named.join(lowest, "linked", "left").select(*key, F.coalesce("low", "first").alias("component"))
     joined = info.select("id", "block", "place", *key).join(where, key, "left")
     # rows that share an id are one vertex: a second pass only if there are any
     if not full.groupBy("id").agg(F.countDistinct(*key).alias("k")).where("k > 1").isEmpty():
-        again = components(joined.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links))
+        again = components(joined.select(F.col("id").alias("a"), F.col("component").alias("b")))
         joined = joined.join(again.select(F.col("id"), F.col("component").alias("whole")), "id", "left").withColumn("component", F.coalesce("whole", "component"))
     return joined.select("block", "place", "id", "n", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
 

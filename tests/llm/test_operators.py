@@ -379,6 +379,13 @@ def test_permutation_index_finds_by_its_cut(spark):
     assert hit / 500 >= 0.9
 
 
+def test_one_id_on_two_texts(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    made = [(1, a), (1, b), (8, a + " x"), (9, b + " y"), (7, "alone " * 9)]
+    got = near.near_duplicates(spark.createDataFrame(made, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1), (1, 1), (7, 7), (8, 1), (9, 1)]
+
+
 def test_odd_rows(spark, odd):
     assert odd.count() == suffix.score_texts(odd).count() == pack.pack_documents(odd, queries.tokenizer()).count() == shards.shard_documents(odd, 3).count()
     got = near.near_duplicates(odd).collect()
