@@ -43,6 +43,14 @@ class Encoder:
         self.known, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.begin, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
+    def _ids(self, words: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each of the words at these places has, and all their ids."""
+        raw = words.raw.tobytes()
+        spelled = [raw[a:b].decode() for a, b in zip(words.start[at].tolist(), words.end[at].tolist(), strict=True)]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(spelled, add_special_tokens=False)]
+        lengths = np.array([len(x) for x in found], np.int64)
+        return lengths, np.fromiter((v for x in found for v in x), np.uint32, int(lengths.sum()))
+
     def _learn(self, words: Words, h: np.ndarray, at: np.ndarray) -> None:
         if len(self.known) + len(h) > self.most:
             self._clear()
@@ -52,11 +60,7 @@ class Encoder:
             fresh = np.flatnonzero(self.known[i] != h) if len(self.known) else np.arange(len(h))
         if not len(fresh):
             return
-        raw = words.raw.tobytes()
-        spelled = [raw[a:b].decode() for a, b in zip(words.start[at[fresh]].tolist(), words.end[at[fresh]].tolist(), strict=True)]
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(spelled, add_special_tokens=False)]
-        lengths = np.array([len(x) for x in found], np.int64)
-        flat = np.fromiter((v for x in found for v in x), np.uint32, int(lengths.sum()))
+        lengths, flat = self._ids(words, at[fresh])
         slots = len(self.begin) - 1 + np.arange(len(fresh))
         self.begin = np.r_[self.begin, self.begin[-1] + np.cumsum(lengths)]
         self.ids = np.r_[self.ids, flat]
@@ -71,13 +75,15 @@ class Encoder:
         n_texts = len(at) - 1
         if not len(h):
             return np.full(n_texts, end_id, np.uint32), np.arange(n_texts + 1)
-        for a in range(0, len(h), self.most // 2):  # a batch may have more distinct words than the cache
-            if len(h) <= self.most // 2:
-                self._learn(words, h, place)
-                slot = self.slot[np.searchsorted(self.known, h)]
-                begin, ids = self.begin, self.ids
-            else:
-                raise ValueError("a batch has more distinct words than half the cache; make batches smaller")
+        run = max(1, self.most // 2)
+        if len(h) <= run:
+            self._learn(words, h, place)
+            slot = self.slot[np.searchsorted(self.known, h)]
+            begin, ids = self.begin, self.ids
+        else:  # more distinct words than the cache is for: encoded in runs, and not kept
+            found = [self._ids(words, place[a : a + run]) for a in range(0, len(h), run)]
+            slot = np.arange(len(h))
+            begin, ids = np.r_[0, np.cumsum(np.concatenate([n for n, _ in found]))], np.concatenate([x for _, x in found])
         length = begin[slot + 1] - begin[slot]
         n = length[back]
         # where each word's ids go: after the ids of the words before it and one end id for each earlier text

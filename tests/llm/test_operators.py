@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pulsegrid.llm import mixing, near, nearest, pack, quality, queries, sequences, shards, substring, suffix, warc
@@ -386,6 +387,15 @@ def test_one_id_on_two_texts(spark):
     assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1), (1, 1), (7, 7), (8, 1), (9, 1)]
 
 
+def test_encoder_of_more_words_than_it_keeps():
+    from pulsegrid.llm import text, tokens
+
+    texts = [" ".join(f"v{i}" for i in range(100)), "", "v3 v3 other"]
+    raw, at = text.buffers(pa.array(texts))
+    ids, begin = tokens.Encoder(queries.tokenizer(), most=20).encode(raw, at, 2)
+    assert [ids[x:y].tolist() for x, y in zip(begin[:-1], begin[1:], strict=True)] == encoded(texts, 2)
+
+
 def test_odd_rows(spark, odd):
     assert odd.count() == suffix.score_texts(odd).count() == pack.pack_documents(odd, queries.tokenizer()).count() == shards.shard_documents(odd, 3).count()
     got = near.near_duplicates(odd).collect()
