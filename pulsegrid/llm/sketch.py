@@ -1,85 +1,77 @@
-"""Count-min sketches over hashed keys, merged from partition sketches.
-
-Each row of a sketch has ``width`` counters; a key adds one to the counter that the row's
-hash picks.  A key's smallest counter never falls short of its count, so "all counters reach
-``least``" keeps every key that does.  Only that one bit per counter goes to the executors;
-the number of counters, and so the broadcast, is bounded by ``width * depth`` however large
-the corpus (a fuller sketch keeps more keys than needed, never fewer).
+"""A count-min sketch over hashed keys, merged from the sketches of blocks and asked by them.
+
+Each row of the sketch has CELLS counters for every bucket of the corpus; a key adds one to the
+counter that the row's hash picks.  A key's smallest counter never falls short of its count,
+so "all counters reach two" keeps every key that does.  A block's own sketch is sparse: the
+ascending numbers of the counters it touches, a range of them to each bucket.  The bucket
+merges them and answers one bit for each; nothing is broadcast and nothing comes to the
+driver, so the sketch is as wide for its keys in a large corpus as in a small one.
 """
 
 from __future__ import annotations
 
+import struct
+
 import numpy as np
-from pyspark.sql import DataFrame
 
 from . import store
-from .text import pack_gaps, second, unpack_gaps
-
-#: log2 of the counters in a range that one task merges.
-RANGE_BITS = 22
-
-
-def cells(keys: np.ndarray, row: int, bits: int) -> np.ndarray:
-    """The counter of each key in one row."""
-    return (second(keys, 1000 + row) >> np.uint64(64 - bits)).astype(np.int64)
-
-
-class Sketch:
-    """Bits of the counters that reached the least count."""
-
-    def __init__(self, bits: int, depth: int, data: list[bytes]):
-        self.bits, self.depth, self.data = bits, depth, data
-
-    def reached(self, keys: np.ndarray) -> np.ndarray:
-        """For each key: False only where its count is surely under the least."""
-        ok = np.ones(len(keys), bool)
-        for row in range(self.depth):
-            at = cells(keys, row, self.bits)
-            table = np.frombuffer(self.data[row], np.uint8)
-            ok &= (table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
-        return ok
-
-
-def width_bits(keys: int, most: int) -> int:
-    """log2 of the counters of a row for about so many keys: twice as many, at most 2**most."""
-    return int(min(most, max(16, np.ceil(np.log2(max(1, keys))) + 1)))
-
-
-def build(table: DataFrame, keys_of, least: int, bits: int, depth: int = 2) -> Sketch:
-    """A merged sketch of the keys that keys_of(block) gives (repeats count).
-
-    Counters saturate at ``least``.  Every block sends, for each range of counters, its
-    touched counters as one-byte gaps; a task merges one range; the driver receives one bit
-    per counter.
-    """
-    span = min(RANGE_BITS, bits)
-    ranges = 1 << (bits - span)
-
-    def emit(block):
-        keys = keys_of(block)
-        for row in range(depth):
-            at = np.sort(cells(keys, row, bits))
-            if least < len(at):  # no counter needs more than `least` additions
-                at = at[np.r_[np.ones(least, bool), at[least:] != at[:-least]]]
-            cut = np.searchsorted(at, np.arange(ranges + 1, dtype=np.int64) << span)
-            for r in range(ranges):
-                if cut[r] < cut[r + 1]:
-                    yield row * ranges + r, pack_gaps(at[cut[r] : cut[r + 1]] - (r << span))
-
-    def merge(batches):
-        for key, members in store.grouped(batches):
-            counts = np.zeros(1 << span, np.uint16)
-            for (data,) in members:
-                at = unpack_gaps(data)
-                one = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-                times = np.diff(np.r_[one, len(at)])
-                counts[at[one]] = np.minimum(least, counts[at[one]] + times)
-            yield store.to_batch([(key, np.packbits(counts >= least).tobytes())], "range int, bits binary")
-
-    sent = store.per_block(table, emit, "range int, data binary")
-    merged = sent.repartition(depth * ranges, "range").sortWithinPartitions("range").mapInArrow(merge, "range int, bits binary")
-    rows = [bytearray((1 << bits) // 8) for _ in range(depth)]
-    for r in merged.toLocalIterator():  # depth * width bits in all, a range at a time
-        row, at = divmod(r["range"], ranges)
-        rows[row][at << span >> 3 : (at + 1) << span >> 3] = r["bits"]
-    return Sketch(bits, depth, [bytes(x) for x in rows])
+from .text import pack_sorted, second, splits, unpack_sorted
+
+#: log2 of a row's counters for each bucket (about four for each window of its text), and rows.
+CELL_BITS, DEPTH = 23, 2
+
+
+class Routed:
+    """Distinct keys of a block, and the counters they touch in one row, by bucket."""
+
+    def __init__(self, keys: np.ndarray, row: int, buckets: int):
+        # the keys are ascending hashes already; another row's hashes are put in order
+        h = second(keys, 1000 + row) if row else keys
+        self.order = np.argsort(h) if row else np.arange(len(h))
+        h = h[self.order]
+        self.buckets, self.cut = store.cuts(h, buckets)
+        self.cell = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32 - CELL_BITS)
+
+    def parts(self):
+        for b, x, y in zip(self.buckets.tolist(), self.cut[:-1].tolist(), self.cut[1:].tolist(), strict=True):
+            yield b, slice(x, y)
+
+
+def emit(keys: np.ndarray, twice: np.ndarray, buckets: int, depth: int = DEPTH):
+    """(bucket, payload) of a block: its distinct keys, ascending, and whether it has each more than once."""
+    for row in range(depth):
+        r = Routed(keys, row, buckets)
+        more = twice[r.order]
+        for b, s in r.parts():
+            yield row * buckets + b, struct.pack("<I", s.stop - s.start) + np.packbits(more[s]).tobytes() + pack_sorted(r.cell[s])
+
+
+def merge(members: list[tuple]):
+    """Bucket side: (block, a bit for each counter it sent: whether that reached two)."""
+    cells, more = [], []
+    for _, data in members:
+        (n,) = struct.unpack_from("<I", data)
+        more.append(np.unpackbits(np.frombuffer(data, np.uint8, -(-n // 8), 4), count=n).astype(bool))
+        cells.append(unpack_sorted(data[4 + -(-n // 8) :]))
+    every = np.concatenate(cells)
+    order = np.argsort(every)
+    at = splits(every[order])
+    count = np.add.reduceat(1 + np.concatenate(more)[order].astype(np.int64), at)
+    reached = np.empty(len(every), bool)
+    reached[order] = np.repeat(count >= 2, np.diff(np.r_[at, len(every)]))
+    i = 0
+    for (block, _), c in zip(members, cells, strict=True):
+        yield block, np.packbits(reached[i : i + len(c)]).tobytes()
+        i += len(c)
+
+
+def repeated(keys: np.ndarray, replies: dict[int, bytes], buckets: int, depth: int = DEPTH) -> np.ndarray:
+    """For each of a block's keys: False only where it surely occurs once in the corpus."""
+    ok = np.ones(len(keys), bool)
+    for row in range(depth):
+        r = Routed(keys, row, buckets)
+        found = np.empty(len(keys), bool)
+        for b, s in r.parts():
+            found[s] = np.unpackbits(np.frombuffer(replies[row * buckets + b], np.uint8), count=s.stop - s.start).astype(bool)
+        ok[r.order] &= found
+    return ok

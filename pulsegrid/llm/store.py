@@ -2,8 +2,12 @@
 
 A *block* is one row that holds a few megabytes of documents, compressed.  Blocks are
 written once to the shared folder, so their identity survives lost executors; operators
-that need corpus-wide statistics send packed keys from blocks to hash buckets, reduce a
-bucket in one bounded task, and send the answers back by block.
+that need corpus-wide statistics send packed keys from blocks to ranges of hashes (buckets),
+reduce a bucket in one bounded task, and send the answers back by block.
+
+A block sends at most one row to a bucket, and none without keys: the rows are fewer than the
+blocks times the buckets and fewer than the keys.  Buckets grow in number with the corpus, so
+that each fits a task's memory; tasks are at most MOST_PARTS and take their buckets in turn.
 """
 
 from __future__ import annotations
@@ -21,16 +25,20 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text in a block, and of text for which one hash bucket is opened.
-BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 12 << 20
+#: Bytes of text in a block, and of text for which one bucket is opened; most shuffle partitions.
+BLOCK_BYTES, BUCKET_BYTES, MOST_PARTS = 8 << 20, 12 << 20, 20_000
+#: Documents at which a block ends; it has fewer than twice as many.
+BLOCK_ROWS = 1 << 17
 #: Whether Spark removes an execution's shuffle files at its end.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BLOCK = "block long, n long, bytes long, ids binary, lengths binary, data binary"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset, a new local one."""
+    """The folder named by spark.checkpoint.dir; where that is unset, a new local one if Spark is local."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="pulsegrid-")
         atexit.register(shutil.rmtree, found[7:], True)
@@ -62,19 +70,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def drop(df: DataFrame) -> None:
     """Delete what written() wrote, once nothing will read it again."""
-    path = getattr(df, "_pulsegrid_path", None)
+    remove(df.sparkSession, getattr(df, "_pulsegrid_path", None))
+
+
+def remove(spark: SparkSession, path: str | None) -> None:
+    """Delete a folder of the shared storage, if there is one."""
     if path:
-        spark = df.sparkSession
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove shuffle files of plans that are no longer referenced."""
-    import gc
+def lean() -> None:
+    """Make this Python worker give memory back to the system when it frees it.
+
+    Workers are kept between stages; what their allocators held would add up in an executor.
+    """
+    import ctypes
+    import ctypes.util
 
-    gc.collect()
-    spark._jvm.System.gc()
+    pa.default_memory_pool().release_unused()
+    try:
+        c = ctypes.CDLL(ctypes.util.find_library("c") or "libc.so.6")
+        c.mallopt(-3, 1 << 20)  # fixed value: M_MMAP_THRESHOLD; larger pieces are mapped one by one
+        c.malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 class Block:
@@ -90,10 +110,16 @@ class Block:
         self.raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["data"], max_output_size=max(1, int(self.at[-1]))), np.uint8)
 
     def words(self, lower: bool = False):
+        """The words of the whole texts."""
         from .text import Words
 
         return Words(self.raw, self.at, lower)
 
+    def column(self, i: int) -> list:
+        """Values of the i-th column of a table packed with whole_rows (neither id nor text)."""
+        other = pa.ipc.open_stream(self.other).read_all().combine_chunks()["other"]
+        return [v for c in other.chunks for v in c.field(f"c{i}").to_pylist()]
+
     def restored(self, names: list[str], id_col: str, text_col: str, rows: np.ndarray, texts: list | None = None) -> pa.RecordBatch:
         """Whole rows of the documents, in the given order of columns; texts replace their texts."""
         other = pa.ipc.open_stream(self.other).read_all().combine_chunks()
@@ -148,7 +174,7 @@ def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bloc
             raw, pos = buffers(batch.column(1))
             a = 0
             while a < batch.num_rows:
-                b = max(a + 1, int(np.searchsorted(pos, pos[a] + max(1, block_bytes - size), "right")) - 1)
+                b = min(a + BLOCK_ROWS, max(a + 1, int(np.searchsorted(pos, pos[a] + max(1, block_bytes - size), "right")) - 1))
                 ids.append(np.ma.array(ids_all[a:b]))
                 lengths.append(np.diff(pos[a : b + 1]))
                 data.append(raw[pos[a] : pos[b]])
@@ -156,11 +182,11 @@ def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bloc
                 if whole_rows:
                     others.append(batch.column(2).slice(a, b - a))
                 a = b
-                if size >= block_bytes or sum(map(len, lengths)) >= 1 << 17:
+                if size >= block_bytes or sum(map(len, lengths)) >= BLOCK_ROWS:
                     ids = [np.ma.concatenate(ids)]
                     yield out()
             if ids:
-                # the next batch may reuse Spark's buffer
+                # copied, as a slice would hold its whole batch
                 ids, lengths, data = [np.ma.concatenate(ids)], [np.concatenate(lengths)], [np.concatenate(data).copy()]
         if ids:
             ids = [np.ma.concatenate(ids)]
@@ -182,27 +208,31 @@ def corpus_size(table: DataFrame) -> tuple[int, int]:
 
 
 def bucket_count(text_bytes: int) -> int:
-    """Hash buckets for so much text, so that a bucket's keys stay within one task's memory."""
-    return int(min(20_000, max(8, -(-text_bytes // BUCKET_BYTES))))
+    """Buckets for so much text, so that a bucket's keys stay within one task's memory."""
+    return int(max(8, -(-text_bytes // BUCKET_BYTES)))
 
 
 def shuffled(spark: SparkSession, text_bytes: int) -> int:
     """Shuffle partitions for packed rows."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), bucket_count(text_bytes))
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTS, bucket_count(text_bytes)))
+
+
+def cuts(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of ascending uint64 keys: the buckets (equal ranges of hashes) that have any, and where each one's begin and end."""
+    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
+    return bucket[at].astype(np.int64), np.r_[at, len(keys)].astype(np.int64)
 
 
 def per_block(table: DataFrame, emit: Callable[[Block], Iterator[tuple]], schema: str) -> DataFrame:
     """emit(block) yields rows of the schema for each block."""
 
     def run(batches):
-        types = None
         for row in rows(batches):
-            block = Block(row)
-            for out in chunks(emit(block), 512):
+            for out in chunks(emit(Block(row)), 512):
                 yield to_batch(out, schema)
-                types = True
-        if types is None:
-            yield to_batch([], schema)
+            lean()
+        yield to_batch([], schema)
 
     return table.mapInArrow(run, schema)
 
@@ -274,26 +304,40 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def ask(table: DataFrame, emit, reduce, text_bytes: int, name: str) -> tuple[str, list[bytes]]:
+def settle(fs, own: str, final: str) -> None:
+    """Give a finished file its final name; where another attempt was first, its equal file stays."""
+    from pyarrow import fs as pafs
+
+    try:
+        fs.move(own, final)
+    except OSError:
+        if fs.get_file_info(final).type == pafs.FileType.NotFound:
+            raise
+        fs.delete_file(own)
+
+
+def ask(table: DataFrame, emit, reduce, text_bytes: int, name: str) -> tuple[str, tuple[int, int]]:
     """Send packed keys from blocks to buckets and keep the answers, in a shared file for each block.
 
     emit(block) yields (bucket, payload); reduce(bucket, [(block, payload)]) yields
     (block, reply).  Later passes over the blocks read only their own file (answers_of), so
     texts aren't shuffled.
     A file is written under an attempt's own name and then moved, so any attempt may win.
-    Answers to block -1 come back as they are: one per bucket at most.
+    Answers to block None are pairs of numbers; their sums over all buckets come back.
     """
     from .sequences import filesystem
 
     spark = table.sparkSession
-    release(spark)  # the round before is answered: its shuffle files can go
     parts, path = shuffled(spark, text_bytes), fresh(spark, name)
     sent = per_block(table, lambda b: ((int(k), int(b.block), p) for k, p in emit(b)), "bucket int, block long, payload binary")
 
     def run(batches):
         for key, members in grouped(batches):
-            for out in chunks(((int(b), int(key), r) for b, r in reduce(key, members)), 512):
+            # what is for no block is dealt out by the bucket's number
+            for out in chunks(((-1 - int(key) if b is None else int(b), int(key), r) for b, r in reduce(key, members)), 512):
                 yield to_batch(out, "block long, bucket int, reply binary")
+        lean()
+        yield to_batch([], "block long, bucket int, reply binary")
 
     def keep(batches):
         from pyspark import TaskContext
@@ -301,21 +345,22 @@ def ask(table: DataFrame, emit, reduce, text_bytes: int, name: str) -> tuple[str
         fs, base = filesystem(path)
         fs.create_dir(base, recursive=True)
         for block, members in grouped(batches):
-            if block == -1:
-                yield to_batch([(r,) for _, r in members], "reply binary")
+            if block < 0:
+                yield to_batch([struct.unpack("<qq", r) for _, r in members], "a long, b long")
                 continue
             own = f"{base}/.{TaskContext.get().taskAttemptId()}-{block}"
-            with fs.open_output_stream(own) as f:
+            with fs.open_output_stream(own, compression="zstd") as f:
                 for bucket, r in members:
                     f.write(struct.pack("<iq", bucket, len(r)) + r)
-            fs.move(own, f"{base}/{block}")
-        yield to_batch([], "reply binary")
+            settle(fs, own, f"{base}/{block}")
+        lean()
+        yield to_batch([], "a long, b long")
 
     answers = sent.repartition(parts, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, "block long, bucket int, reply binary")
-    kept = written(answers.repartition(parts, "block").sortWithinPartitions("block", "bucket").mapInArrow(keep, "reply binary"), name)
-    totals = [bytes(r["reply"]) for r in kept.toLocalIterator()]
+    kept = written(answers.repartition(parts, "block").sortWithinPartitions("block", "bucket").mapInArrow(keep, "a long, b long"), name)
+    sums = kept.agg(F.coalesce(F.sum("a"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
     drop(kept)
-    return path, totals
+    return path, (int(sums[0]), int(sums[1]))
 
 
 def answers_of(path: str, block: int) -> dict[int, bytes]:
@@ -327,7 +372,7 @@ def answers_of(path: str, block: int) -> dict[int, bytes]:
     fs, base = filesystem(path)
     if fs.get_file_info(f"{base}/{block}").type == pafs.FileType.NotFound:
         return {}
-    with fs.open_input_stream(f"{base}/{block}") as f:
+    with fs.open_input_stream(f"{base}/{block}", compression="zstd") as f:
         data = f.read()
     out, i = {}, 0
     while i < len(data):
@@ -349,7 +394,6 @@ def deliver(df: DataFrame, name: str) -> str:
     from .sequences import filesystem
 
     spark = df.sparkSession
-    release(spark)
     path, parts = fresh(spark, name), int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
@@ -364,7 +408,7 @@ def deliver(df: DataFrame, name: str) -> str:
             if writer:
                 writer.close()
                 sink.close()
-                fs.move(own, f"{base}/{open_block}")
+                settle(fs, own, f"{base}/{open_block}")
 
         for batch in batches:
             block = batch.column("block").to_numpy()
@@ -377,6 +421,7 @@ def deliver(df: DataFrame, name: str) -> str:
                     writer = pa.ipc.new_stream(sink, batch.schema)
                 writer.write_batch(batch.slice(a, b - a))
         close()
+        lean()
         yield to_batch([], "done int")
 
     drop(written(df.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(run, "done int"), name))

@@ -2,13 +2,15 @@
 
 Windows of k consecutive words are counted in a merged count-min sketch, once for each
 document.  The sketch overestimates, so a window that is not estimated to be in two
-documents surely is not.  Only the others go, packed, to hash buckets, where the smallest
+documents surely is not.  Only the others go, packed, to buckets, where the smallest
 document of each is found exactly; blocks of documents get the answers and remove words.
+Windows are known by 64-bit hashes of their words.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -16,46 +18,69 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch, store
-from .text import Words, second, splits
-
-#: Words of a window; most log2 counters of a sketch row (two rows of bits: 64 MB in all).
-WINDOW, SKETCH_BITS, SKETCH_DEPTH = 13, 28, 2
-
-
-def _distinct(words: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows' first words, their hashes, and the texts they are in."""
-    first, h = words.windows(k)
-    return first, h, np.searchsorted(words.offsets, first, "right") - 1
-
-
-def _keys(block: store.Block, k: int) -> np.ndarray:
-    """Each window's hash, once for each document of the block that has it."""
-    words = block.words()
-    _, h, text = _distinct(words, k)
-    order = np.lexsort((text, h))
-    h, text = h[order], text[order]
-    if not len(h):
-        return h
-    return h[np.r_[True, (h[1:] != h[:-1]) | (text[1:] != text[:-1])]]
-
-
-def _candidates(block: store.Block, words: Words, k: int, counts: sketch.Sketch, buckets: int):
-    """Distinct windows estimated repeated, by bucket: hash, smallest id, whether more ids have it; and all windows."""
-    first, h, text = _distinct(words, k)
-    ok = counts.reached(h) & ~block.null[text]
-    order = np.argsort(h[ok], kind="stable")
-    key, ids = h[ok][order], block.ids[text[ok]][order]
-    at = splits(key)
-    low = np.minimum.reduceat(ids, at) if len(at) else ids
-    high = np.maximum.reduceat(ids, at) if len(at) else ids
-    key = key[at]
-    bucket = (second(key, 7) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    return first, h, text, key[order], low[order], high[order], cut
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, sketch_bits: int = SKETCH_BITS, whole_rows: bool = False, block_bytes: int = store.BLOCK_BYTES) -> DataFrame:
+from .text import Words, pack_sorted, small, splits, unpack_sorted
+
+#: Words of a window.
+WINDOW = 13
+
+
+class Windows:
+    """The windows of a block: where they begin, their hashes and texts, and the distinct ones."""
+
+    def __init__(self, block: store.Block, words: Words, k: int):
+        self.first, self.hash = words.windows(k)
+        self.text = np.searchsorted(words.offsets, self.first, "right") - 1
+        order = np.argsort(self.hash)
+        self.at = splits(self.hash[order])
+        self.key = self.hash[order][self.at]
+        # windows of rows without an id remove nothing and are no reason to remove
+        ids, null = block.ids[self.text[order]], block.null[self.text[order]]
+        if len(self.at):
+            self.low = np.minimum.reduceat(np.where(null, np.iinfo(np.int64).max, ids), self.at)
+            self.high = np.maximum.reduceat(np.where(null, np.iinfo(np.int64).min, ids), self.at)
+        else:
+            self.low = self.high = np.zeros(0, np.int64)
+
+    def named(self, ok: np.ndarray) -> np.ndarray:
+        """Of the distinct windows, those that some row with an id has."""
+        return ok & (self.low <= self.high)
+
+
+def _smallest(members: list[tuple]):
+    """Bucket side: for each sent window (block, whether another id has it, and the smallest id)."""
+    keys, lows, more = [], [], []
+    for _, data in members:
+        n, base, code = struct.unpack_from("<Iqc", data)
+        at, kind = 13, np.dtype("u" + code.decode())
+        lows.append(np.frombuffer(data, kind, n, at).astype(np.int64) + base)
+        at += n * kind.itemsize
+        more.append(np.unpackbits(np.frombuffer(data, np.uint8, -(-n // 8), at), count=n).astype(bool))
+        keys.append(unpack_sorted(data[at + -(-n // 8) :]))
+    key, low = np.concatenate(keys), np.concatenate(lows)
+    order = np.argsort(key)
+    at = splits(key[order])
+    least = np.minimum.reduceat(low[order], at)
+    smallest = np.empty(len(key), np.int64)
+    smallest[order] = np.repeat(least, np.diff(np.r_[at, len(key)]))
+    useful = np.concatenate(more) | (smallest < low)
+    i = 0
+    for (block, _), k in zip(members, keys, strict=True):
+        on, found = useful[i : i + len(k)], smallest[i : i + len(k)]
+        if on.any():
+            base = int(found[on].min())
+            ids = small((found[on] - base).view(np.uint64))
+            yield block, struct.pack("<qc", base, ids.dtype.str[2:].encode()) + np.packbits(on).tobytes() + ids.tobytes()
+        i += len(k)
+
+
+def _ids(reply: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of n sent windows, which got an answer, and the smallest ids of those."""
+    base, code = struct.unpack_from("<qc", reply)
+    on = np.unpackbits(np.frombuffer(reply, np.uint8, -(-n // 8), 9), count=n).astype(bool)
+    return on, np.frombuffer(reply, np.dtype("u" + code.decode()), -1, 9 + -(-n // 8)).astype(np.int64) + base
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, depth: int = sketch.DEPTH, whole_rows: bool = False, block_bytes: int = store.BLOCK_BYTES) -> DataFrame:
     """Remove every word covered by a window that also starts in a document with a smaller id.
 
     Windows are judged on the input.  Returns id_col, n_words, n_removed, kept_sha256 (of the
@@ -65,57 +90,49 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Null texts have no words.  Rows with a null id lose nothing and cause no removal.  Rows
     that share an id are one document for the comparison: none causes removal in another.
-    Extra columns are ignored.  An empty table gives an empty result.
+    Extra columns are ignored.  An empty table gives an empty result.  A text of any length is
+    one part of one block, so the longest must fit a task's memory.
     """
     spark = docs.sparkSession
     table = store.blocks(docs, id_col, text_col, block_bytes, whole_rows=whole_rows)
     _, size = store.corpus_size(table)
     buckets = store.bucket_count(size)
-    counts = sketch.build(table, lambda b: _keys(b, window), 2, sketch.width_bits(size // 6, sketch_bits), SKETCH_DEPTH)
-    shared = spark.sparkContext.broadcast(counts)
+
+    def count(block):
+        w = Windows(block, block.words(), window)
+        named = w.named(np.ones(len(w.key), bool))
+        yield from sketch.emit(w.key[named], w.high[named] > w.low[named], buckets, depth)
+
+    def candidates(block, words):
+        """A block's windows, and of the distinct ones those estimated repeated."""
+        w = Windows(block, words, window)
+        ok = w.named(np.ones(len(w.key), bool))
+        ok[ok] = sketch.repeated(w.key[ok], store.answers_of(sketched, block.block), buckets, depth)
+        return w, w.key[ok], w.low[ok], w.high[ok]
 
     def emit(block):
-        *_, key, low, high, cut = _candidates(block, block.words(), window, shared.value, buckets)
-        for b in range(buckets):
-            s = slice(cut[b], cut[b + 1])
-            if cut[b] < cut[b + 1]:
-                base = int(low[s].min())
-                small = (low[s] - base).astype(np.uint32 if int(low[s].max()) - base < 2**32 else np.int64)
-                yield b, store.pack(key[s], np.array([base]), small, np.packbits(high[s] > low[s]))
-
-    def reduce(_, members):
-        parts = [store.unpack(p) for _, p in members]
-        sizes = [len(p[0]) for p in parts]
-        key = np.concatenate([p[0] for p in parts])
-        low = np.concatenate([p[1][0] + p[2].astype(np.int64) for p in parts])
-        more = np.concatenate([np.unpackbits(p[3], count=len(p[0])) for p in parts]).astype(bool)
-        order = np.argsort(key, kind="stable")
-        at = splits(key[order])
-        least = np.minimum.reduceat(low[order], at)
-        smallest = np.empty(len(key), np.int64)
-        smallest[order] = np.repeat(least, np.diff(np.r_[at, len(key)]))
-        useful = more | (smallest < low)
-        i = 0
-        for (block, _), n in zip(members, sizes, strict=True):
-            on, found = useful[i : i + n], smallest[i : i + n]
-            if on.any():
-                yield block, store.pack(np.packbits(on), found[on])
-            i += n
+        _, key, low, high = candidates(block, block.words())
+        found, cut = store.cuts(key, buckets)
+        for b, x, y in zip(found.tolist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            base = int(low[x:y].min())
+            ids = small((low[x:y] - base).view(np.uint64))
+            yield b, struct.pack("<Iqc", y - x, base, ids.dtype.str[2:].encode()) + ids.tobytes() + np.packbits(high[x:y] > low[x:y]).tobytes() + pack_sorted(key[x:y])
+
+    sketched, _ = store.ask(table, count, lambda _, m: sketch.merge(m), size, "sketch")
+    path, _ = store.ask(table, emit, lambda _, m: _smallest(m), size, "repeats")
 
     names = docs.columns
     schema = f"{id_col} long, n_words long, n_removed long, kept_sha256 string"
 
     def apply(block, replies):
         words = block.words()
-        first, h, text, key, _, _, cut = _candidates(block, words, window, shared.value, buckets) if replies else (np.zeros(0, np.int64),) * 7
-        known, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for b, data in replies.items():
-            on, found = store.unpack(data)
-            known.append(key[cut[b] : cut[b + 1]][np.unpackbits(on, count=cut[b + 1] - cut[b]).astype(bool)])
-            ids.append(found)
-        known, ids = np.concatenate(known), np.concatenate(ids)
-        order = np.argsort(known)
-        known, ids = known[order], ids[order]
+        known, ids, first, h, text = (np.zeros(0, np.int64),) * 5
+        if replies:
+            w, key, _, _ = candidates(block, words)
+            first, h, text = w.first, w.hash, w.text
+            found, cut = store.cuts(key, buckets)
+            each = [(key[x:y], *_ids(replies[b], y - x)) for b, x, y in zip(found.tolist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True) if b in replies]
+            known, ids = np.concatenate([k[on] for k, on, _ in each]), np.concatenate([i for *_, i in each])
         gone = np.zeros(len(words.hash) + 1, np.int64)
         if len(known):
             at = np.minimum(np.searchsorted(known, h), len(known) - 1)
@@ -141,14 +158,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             digests.append(hashlib.sha256(b" ".join(parts)).hexdigest())
         yield store.columns_batch([pa.array(block.ids, mask=block.null), n_words.astype(np.int64), removed.astype(np.int64), digests], schema)
 
-    path, _ = store.ask(table, emit, reduce, size, "repeats")
-
     def run(batches):
         some = False
         for row in store.rows(batches):
             block = store.Block(row)
             some = True
             yield from apply(block, store.answers_of(path, block.block))
+            del block
+            store.lean()
         if not some and not whole_rows:
             yield store.to_batch([], schema)
 

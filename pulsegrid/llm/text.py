@@ -6,6 +6,8 @@ batch of texts at once; nothing here loops over words or rows.
 
 from __future__ import annotations
 
+import struct
+
 import numpy as np
 import pyarrow as pa
 
@@ -130,16 +132,52 @@ def splits(sorted_keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, sorted_keys[1:] != sorted_keys[:-1]])
 
 
-def pack_gaps(cells: np.ndarray) -> bytes:
-    """Sorted non-negative integers as one byte for each gap, 255 standing for 'add 255 and go on'."""
-    gaps = np.diff(cells, prepend=0).astype(np.int64)
-    more, rest = np.divmod(gaps, 255)
-    out = np.full(int(more.sum()) + len(gaps), 255, np.uint8)
-    out[np.cumsum(more + 1) - 1] = rest
-    return out.tobytes()
-
-
-def unpack_gaps(data: bytes) -> np.ndarray:
-    """The inverse of pack_gaps."""
-    x = np.frombuffer(data, np.uint8)
-    return np.cumsum(x, dtype=np.int64)[x != 255]
+def pack_sorted(x: np.ndarray) -> bytes:
+    """Ascending uint64 numbers: low bits as they are, high bits as gaps in unary (Elias and Fano).
+
+    About two bits more than log2(span / n) for each number, whatever the numbers.
+    """
+    if not len(x):
+        return b""
+    x = x.astype(np.uint64)
+    base, n = int(x[0]), len(x)
+    rest = x - x[0]
+    low = max(0, (int(rest[-1]) // n).bit_length() - 1)
+    high = (rest >> np.uint64(low)).astype(np.int64)
+    unary = np.zeros(n + int(high[-1]), bool)
+    unary[high + np.arange(n)] = True
+    planes = [np.packbits((rest >> np.uint64(j)).astype(np.uint8) & 1) for j in range(low)]
+    return struct.pack("<QIB", base, n, low) + b"".join(p.tobytes() for p in planes) + np.packbits(unary).tobytes()
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    """The inverse of pack_sorted."""
+    if not data:
+        return np.zeros(0, np.uint64)
+    base, n, low = struct.unpack_from("<QIB", data)
+    at, width = 13, -(-n // 8)
+    out = np.zeros(n, np.uint64)
+    for j in range(low):
+        out |= np.unpackbits(np.frombuffer(data, np.uint8, width, at), count=n).astype(np.uint64) << np.uint64(j)
+        at += width
+    high = np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, -1, at)))[:n] - np.arange(n)
+    return out + (high.astype(np.uint64) << np.uint64(low)) + np.uint64(base)
+
+
+def small(x: np.ndarray) -> np.ndarray:
+    """Non-negative integers in the smallest type that holds them."""
+    top = int(x.max()) if len(x) else 0
+    return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
+
+
+def pack_counts(x: np.ndarray) -> bytes:
+    """Non-negative integers, most of them small: a byte each, 255 standing for one of those listed at the end."""
+    big = x >= 255
+    return np.where(big, 255, x).astype(np.uint8).tobytes() + x[big].astype(np.int64).tobytes()
+
+
+def unpack_counts(data: bytes, n: int) -> np.ndarray:
+    """The inverse of pack_counts, for n numbers."""
+    out = np.frombuffer(data, np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(data, np.int64, -1, n)
+    return out
