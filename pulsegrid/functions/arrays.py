@@ -145,22 +145,91 @@ def linear(x: Column, matrix) -> Column:
     return F.transform(rows, lambda r: total(F.zip_with(r, x, lambda a, b: a * b)))
 
 
+def recursion(x: Column, b, a) -> Column:
+    """One pass of the filter with numerator b and denominator a, from the state of a constant x[0]."""
+    order, first = len(a) - 1, F.get(x, F.lit(0))
+    steady, held = [], 0.0
+    for k in range(order, 0, -1):  # the delays of an input and output of 1
+        held += float(b[k]) - float(a[k])
+        steady.insert(0, held)
+
+    def step(s, v):
+        y = v * float(b[0]) + s["z0"]
+        def delays(y):
+            later = [s[f"z{k + 1}"] if k + 1 < order else F.lit(0.0) for k in range(order)]
+            return F.struct(*[(v * float(b[k + 1]) + later[k] - y * float(a[k + 1])).alias(f"z{k}") for k in range(order)], F.concat(s["out"], F.array(y)).alias("out"))
+        return let(y, delays)
+
+    zero = F.struct(*[(first * z).alias(f"z{k}") for k, z in enumerate(steady)], F.array().cast("array<double>").alias("out"))
+    return F.aggregate(x, zero, step, lambda s: s["out"])
+
+
+def zero_phase(x: Column, b, a) -> Column:
+    """Forward and backward filtering with odd extension by three filter lengths; NULL for a signal not longer than that.
+
+    Two passes over the signal, whatever its length: nothing here is quadratic in it.
+    """
+    n = 3 * max(len(a), len(b))
+    last = F.size(x) - 1
+
+    def extended(e):
+        head = F.transform(F.sequence(F.lit(n), F.lit(1), F.lit(-1)), lambda i: 2 * F.get(x, F.lit(0)) - F.get(x, i))
+        tail = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: 2 * F.get(x, last) - F.get(x, last - i))
+        return F.concat(head, e, tail)
+
+    both = let(extended(x), lambda e: let(F.reverse(recursion(e, b, a)), lambda r: F.reverse(recursion(r, b, a))))
+    return F.when(F.size(x) > n, F.slice(both, F.lit(n + 1), F.size(x)))
+
+
+def lowpass(x: Column, rate: float, cutoff: float = 15.0, order: int = 4) -> Column:
+    """Zero-phase Butterworth low-pass; rate / 2 must exceed the cutoff."""
+    from . import coefficients
+
+    return zero_phase(x, *coefficients.butterworth(order, cutoff / (rate / 2)))
+
+
+def savitzky_golay(x: Column, window: int, degree: int) -> Column:
+    """Least-squares smoothing; the ends follow the fit of the first and last full window; NULL for a shorter signal.
+
+    The window's weights are the only constants, so a sample costs a window.
+    """
+    from . import coefficients
+
+    hat, half = coefficients.window_fit(window, degree), window // 2
+    rows = F.from_json(F.lit(str([[float(v) for v in r] for r in hat])), "array<array<double>>")
+
+    def at(r, v, i):
+        first = F.least(F.greatest(i - half, F.lit(0)), F.size(x) - window)
+        return total(F.zip_with(F.get(r, i - first), F.slice(x, first + 1, F.lit(window)), lambda p, q: p * q))
+
+    return F.when(F.size(x) >= window, let(rows, lambda r: F.transform(x, lambda v, i: at(r, v, i))))
+
+
+def model_outliers(x: Column, window: int = 31, degree: int = 3, threshold: float = 3.0) -> Column:
+    """Flags: distance from the smoothed signal over threshold times its robust spread."""
+    return let(savitzky_golay(x, window, degree), lambda s: robust_flags(F.zip_with(x, s, lambda a, b: a - b), threshold))
+
+
 def binomial(x: Column) -> Column:
     """The order-1, half-band zero-phase low-pass: 1/4, 1/2, 1/4 with both ends unchanged."""
     return F.transform(x, lambda v, i: F.when((i == 0) | (i == F.size(x) - 1), v).otherwise(F.get(x, i - 1) / 4 + v / 2 + F.get(x, i + 1) / 4))
 
 
 def local_maxima(x: Column) -> Column:
-    """Indices of strict local maxima; of a plateau its middle, rounded down; never an end."""
-    def right(i):
-        after = F.slice(x, i + 2, F.size(x))
-        run = F.array_position(F.transform(after, lambda v: v != F.get(x, i)), F.lit(True))
-        return F.when(run > 0, i + run.cast("int"))
+    """Indices of strict local maxima; of a plateau its middle, rounded down; never an end.
+
+    One pass: the last value, where the rise to it ended (-1: none since the last fall), and what was found.
+    """
+    none = F.lit(-1)
+
+    def step(a, p):
+        top = F.array(F.floor((a["up"] + p["i"] - 1) / 2).cast("int"))
+        fell = p["v"] < a["v"]
+        up = F.when(p["v"] > a["v"], p["i"]).when(p["v"] == a["v"], a["up"]).otherwise(none)
+        return F.struct(p["v"].alias("v"), up.alias("up"), F.when(fell & (a["up"] >= 0), F.concat(a["out"], top)).otherwise(a["out"]).alias("out"))
 
-    starts = F.filter(F.when(F.size(x) >= 3, F.sequence(F.lit(1), F.size(x) - 2)).otherwise(F.array().cast("array<int>")), lambda i: F.get(x, i - 1) < F.get(x, i))
-    ends = F.transform(starts, lambda i: F.struct(i.alias("a"), right(i).alias("b")))
-    tops = F.filter(ends, lambda p: p["b"].isNotNull() & (F.get(x, p["b"]) < F.get(x, p["a"])))
-    return F.transform(tops, lambda p: F.floor((p["a"] + p["b"] - 1) / 2).cast("int"))
+    zero = F.struct(F.lit(None).cast("double").alias("v"), none.alias("up"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(F.transform(x, lambda v, i: F.struct(v.alias("v"), i.alias("i"))), zero, step, lambda a: a["out"])
 
 
 def find_peaks(x: Column, height: Column | None = None, distance: Column | int = 1, prominence: float | None = None) -> Column:
@@ -171,7 +240,7 @@ def find_peaks(x: Column, height: Column | None = None, distance: Column | int =
     distance = F.lit(distance) if isinstance(distance, int) else distance
     found = local_maxima(x)
     if height is not None:
-        found = let(height, lambda h: F.filter(local_maxima(x), lambda i: F.get(x, i) >= h))
+        found = let(F.struct(found.alias("f"), height.alias("h")), lambda p: F.filter(p["f"], lambda i: F.get(x, i) >= p["h"]))
 
     def suppress(all_):
         ranked = F.transform(F.sort_array(F.transform(all_, lambda i: F.struct(F.get(x, i).alias("h"), i.alias("i"))), asc=False), lambda p: p["i"])

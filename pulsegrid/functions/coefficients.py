@@ -55,13 +55,20 @@ def lowpass(length: int, rate: float, cutoff: float = 15.0, order: int = 4) -> n
     return zero_phase(b, a, np.eye(length))
 
 
+def window_fit(window: int, degree: int) -> np.ndarray:
+    """Row k: the weights of a window's samples in the value at its k-th sample of their least-squares polynomial."""
+    if window % 2 == 0 or degree >= window:
+        raise ValueError("the window must be odd and larger than the degree")
+    basis = np.vander(np.arange(-(window // 2), window // 2 + 1), degree + 1, increasing=True).astype(float)
+    return basis @ np.linalg.pinv(basis)
+
+
 def savitzky_golay(length: int, window: int, degree: int) -> np.ndarray:
     """Least-squares smoothing; the ends follow the fit of the first and last full window."""
-    if window > length or window % 2 == 0 or degree >= window:
-        raise ValueError("the window must be odd, within the signal, and larger than the degree")
+    if window > length:
+        raise ValueError("the window must be within the signal")
     half, out = window // 2, np.zeros((length, length))
-    basis = np.vander(np.arange(-half, half + 1), degree + 1, increasing=True).astype(float)
-    hat = basis @ np.linalg.pinv(basis)
+    hat = window_fit(window, degree)
     for t in range(half, length - half):
         out[t, t - half : t + half + 1] = hat[half]
     out[:half, :window] = hat[:half]

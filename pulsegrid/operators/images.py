@@ -16,17 +16,30 @@ def canonical(v: Column) -> Column:
 
 
 def with_global(df: DataFrame, keys: list[str], aggregates: list[Column]) -> DataFrame:
-    """Attach aggregates over each key group (or all rows) by a broadcast-size join.
+    """Attach aggregates over each key group (or all rows).
 
-    The aggregate has one row for each key group, combined map-side first.
+    The aggregate has one row for each key group, combined map-side first.  Groups are whole
+    images or acquisitions, so there are few; Spark broadcasts them while their size, known
+    when the plan runs, is under its threshold, and beyond it splits a key's rows (skew join).
     """
     if keys:
         return df.join(df.groupBy(*keys).agg(*aggregates), keys)
-    # all rows: a constant key keeps this an equi-join with one row
+    # all rows: the other side is exactly one row, a nested loop of one
     one = df.agg(*aggregates).withColumn("_one", F.lit(0))
     return df.withColumn("_one", F.lit(0)).join(F.broadcast(one), "_one").drop("_one")
 
 
+def crop_frames(df: DataFrame, first: int, end: int, time: str = "t") -> DataFrame:
+    """Frames first to end - 1, with their own numbers."""
+    return df.where((F.col(time) >= first) & (F.col(time) < end))
+
+
+def argmax_center(image: DataFrame, keys: list[str], value: str = "v") -> DataFrame:
+    """The brightest pixel of each image (keys, y, x, value) as center: struct<x, y>; the first in raster order of equals."""
+    best = F.max(F.struct(F.col(value), (-F.col("y")).alias("y"), (-F.col("x")).alias("x"))).alias("b")
+    return image.where(F.col(value).isNotNull()).groupBy(*keys).agg(best).select(*keys, F.struct((-F.col("b.x")).cast("double").alias("x"), (-F.col("b.y")).cast("double").alias("y")).alias("center"))
+
+
 def minmax(df: DataFrame, value: str = "v", keys: list[str] | None = None, out: str | None = None) -> DataFrame:
     """(v - min) / (max - min + 1e-8) over each image."""
     both = with_global(df, keys or [], [F.min(value).alias("_lo"), F.max(value).alias("_hi")])
@@ -55,6 +68,11 @@ def video_from_unit(df: DataFrame, value: str = "v") -> DataFrame:
     return df.withColumn(value, F.when(F.col("_rescaled"), back).otherwise(F.col(value))).drop("_lo", "_hi", "_rescaled")
 
 
+def flat_divide(df: DataFrame, value: str = "v", blur: str = "blur", out: str | None = None) -> DataFrame:
+    """Value over blur."""
+    return df.withColumn(out or value, F.col(value) / (F.col(blur) + EPSILON))
+
+
 def in_border(h: int, w: int, border: float = 0.15) -> Column:
     """Rows within [ceil(border*H), floor((1-border)*H)) and columns alike."""
     import math

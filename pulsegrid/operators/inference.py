@@ -13,8 +13,13 @@ from ..functions import arrays
 EPSILON = 1e-8
 
 
+def uint8(x: Column) -> Column:
+    """Min-max times 255, cut to whole numbers (as doubles)."""
+    return arrays.let(F.struct(F.array_min(x).alias("a"), F.array_max(x).alias("b")), lambda p: F.transform(x, lambda v: F.floor((v - p["a"]) / (p["b"] - p["a"] + EPSILON) * 255).cast("double")))
+
+
 def channel_norm(x: Column, kind: str) -> Column:
-    """zscore, minmax, rescale (/255) or none of one channel's pixels."""
+    """zscore, minmax, rescale (/255) or none (only made uint8) of one channel's pixels."""
     if kind == "zscore":
         return arrays.let(F.struct(arrays.mean(x).alias("m"), arrays.std(x).alias("s")), lambda p: F.transform(x, lambda v: (v - p["m"]) / (p["s"] + EPSILON)))
     if kind == "minmax":
@@ -22,7 +27,7 @@ def channel_norm(x: Column, kind: str) -> Column:
     if kind == "rescale":
         return F.transform(x, lambda v: v / 255.0)
     if kind == "none":
-        return x
+        return uint8(x)
     raise ValueError(f"unknown normalisation {kind!r}")
 
 
@@ -51,19 +56,23 @@ class Backend:
 
 
 class OnnxBackend(Backend):
+    """On a GPU where the runtime has one; a single (H, W) image stands for every channel."""
+
     def __init__(self, path: str):
         import onnxruntime
 
         super().__init__(path)
-        self.session = onnxruntime.InferenceSession(path, providers=["CPUExecutionProvider"])
+        wanted = [p for p in ("CUDAExecutionProvider", "CPUExecutionProvider") if p in onnxruntime.get_available_providers()]
+        self.session = onnxruntime.InferenceSession(path, providers=wanted)
         self.input = self.session.get_inputs()[0]
 
     def predict(self, image: np.ndarray) -> np.ndarray:
-        channels = self.input.shape[1] if isinstance(self.input.shape[1], int) else image.shape[0]
         if image.ndim == 2:
-            image = np.repeat(image[None], channels, 0)
-        if image.shape[0] != channels:
-            raise ValueError(f"the model takes {channels} channels, not {image.shape[0]}")
+            channels = self.input.shape[1]
+            image = np.repeat(image[None], channels if isinstance(channels, int) else 1, 0)
+        # sizes that the model leaves open are names, not numbers
+        if any(isinstance(want, int) and want != got for want, got in zip(self.input.shape[1:], image.shape, strict=True)):
+            raise ValueError(f"the model takes (C, H, W) = {tuple(self.input.shape[1:])}, not {image.shape}")
         return self.session.run(None, {self.input.name: image[None].astype(np.float32)})[0]
 
 
@@ -85,26 +94,19 @@ BACKENDS: dict[str, type[Backend]] = {"onnx": OnnxBackend, "pt": TorchBackend}
 _loaded: dict = {}
 
 
-def activate(y: np.ndarray, kind: str) -> np.ndarray:
-    """Output activation over axis 1 (classes)."""
-    if kind == "sigmoid":
-        return 1 / (1 + np.exp(-y))
-    if kind == "softmax":
-        e = np.exp(y - y.max(1, keepdims=True))
-        return e / e.sum(1, keepdims=True)
-    if kind == "argmax":
-        return y.argmax(1)
-    if kind == "none":
-        return y
-    raise ValueError(f"unknown activation {kind!r}")
-
-
-def normalise(channel: np.ndarray, kind: str) -> np.ndarray:
-    if kind == "zscore":
-        return (channel - channel.mean()) / (channel.std() + EPSILON)
-    if kind == "minmax":
-        return (channel - channel.min()) / (channel.max() - channel.min() + EPSILON)
-    return channel / 255.0 if kind == "rescale" else channel
+#: What is done to a model's output (axis 1: classes) and to each of its input channels, by the names in model files.
+ACTIVATIONS: dict[str, Callable[[np.ndarray], np.ndarray]] = {
+    "argmax": lambda y: y.argmax(1),
+    "none": lambda y: y,
+    "sigmoid": lambda y: 1 / (1 + np.exp(-y)),
+    "softmax": lambda y: (lambda e: e / e.sum(1, keepdims=True))(np.exp(y - y.max(1, keepdims=True))),
+}
+NORMS: dict[str, Callable[[np.ndarray], np.ndarray]] = {
+    "minmax": lambda c: (c - c.min()) / (np.ptp(c) + EPSILON),
+    "none": lambda c: np.floor((c - c.min()) / (np.ptp(c) + EPSILON) * 255),
+    "rescale": lambda c: c / 255.0,
+    "zscore": lambda c: (c - c.mean()) / (c.std() + EPSILON),
+}
 
 
 def infer(images: DataFrame, spec, path: str, make: Callable[[str], Backend] | None = None) -> DataFrame:
@@ -113,7 +115,7 @@ def infer(images: DataFrame, spec, path: str, make: Callable[[str], Backend] | N
     Rows go through in Arrow batches; each worker loads the model once.
     """
     make = make or BACKENDS[spec.format]
-    norm, activation = spec.input_norm, spec.output_activation
+    norm, activation = NORMS[spec.input_norm], ACTIVATIONS[spec.output_activation]
 
     def run(batches):
         import pandas as pd
@@ -122,9 +124,41 @@ def infer(images: DataFrame, spec, path: str, make: Callable[[str], Backend] | N
         for frame in batches:
             out = []
             for r in frame.itertuples():
-                x = np.stack([normalise(np.asarray(c, float).reshape(r.h, r.w), norm) for c in r.channels])
-                y = activate(np.asarray(model.predict(x)), activation)
+                x = np.stack([norm(np.asarray(c, float).reshape(r.h, r.w)) for c in r.channels])
+                y = activation(np.asarray(model.predict(x)))
                 out.append((r.acq_id, list(y.shape), y.ravel().astype(float)))
             yield pd.DataFrame(out, columns=["acq_id", "shape", "data"])
 
     return images.select("acq_id", "h", "w", "channels").mapInPandas(run, "acq_id string, shape array<int>, data array<double>")
+
+
+def channels(images: dict[str, DataFrame], names: list[str], rows: int, columns: int) -> DataFrame:
+    """(acq_id, h, w, channels) from images (acq_id, y, x, v): an array for each named one, missing pixels 0."""
+    every = [images[n].select("acq_id", F.lit(i).alias("c"), "y", "x", F.col("v").cast("double").alias("v")) for i, n in enumerate(names)]
+    long = every[0]
+    for e in every[1:]:
+        long = long.unionByName(e)
+
+    def run(frame):
+        import pandas as pd
+
+        # the few images of one acquisition are one bounded group
+        out = np.zeros((len(names), rows, columns))
+        out[frame["c"], frame["y"], frame["x"]] = frame["v"].fillna(0.0)
+        return pd.DataFrame({"acq_id": frame["acq_id"].iloc[:1], "h": rows, "w": columns, "channels": [list(out.reshape(len(names), -1))]})
+
+    return long.groupBy("acq_id").applyInPandas(run, "acq_id string, h int, w int, channels array<array<double>>")
+
+
+def boxes(output: DataFrame) -> DataFrame:
+    """Detections (acq_id, box_id, x, y, dx, dy, conf) of outputs with shape (1, 5 or more, N): rows are x, y, dx, dy, confidence."""
+    n = F.element_at("shape", -1)
+    every = output.select("acq_id", "data", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("box_id"))
+    return every.select("acq_id", "box_id", *[F.get("data", F.col("n") * k + F.col("box_id")).alias(c) for k, c in enumerate(("x", "y", "dx", "dy", "conf"))])
+
+
+def pixels(output: DataFrame, rows: int, columns: int, channel: int = 0) -> DataFrame:
+    """(acq_id, y, x, v) of one channel of outputs whose last two axes are an image."""
+    part = F.slice("data", F.lit(channel * rows * columns + 1), F.lit(rows * columns))
+    flat = output.select("acq_id", F.posexplode(part).alias("k", "v"))
+    return flat.select("acq_id", F.floor(F.col("k") / columns).cast("int").alias("y"), (F.col("k") % columns).cast("int").alias("x"), "v")

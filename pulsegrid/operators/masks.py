@@ -11,10 +11,10 @@ def grid(spark: SparkSession, rows: int, columns: int) -> DataFrame:
     return spark.range(rows * columns).select(F.floor(F.col("id") / columns).cast("int").alias("y"), (F.col("id") % columns).cast("int").alias("x"))
 
 
-def disk(rows: int, columns: int, r1: float, center: tuple[float, float] = (0.5, 0.5), r2: float | None = None) -> Column:
+def disk(rows: int, columns: int, r1: float, center: tuple[float | Column, float | Column] = (0.5, 0.5), r2: float | None = None) -> Column:
     """Predicate on (y, x): within r1 of the center on the grid scaled to [0, 1], or in (r1, r2].
 
-    The center's first part goes with rows.
+    The center's first part goes with rows; both may be columns.
     """
     if r2 is not None and r1 > r2:
         raise ValueError("r1 must not exceed r2")
@@ -39,6 +39,11 @@ def section(rows: int, columns: int, inner: float = 0.2, outer: float = 0.5) ->
     return ellipse(rows, columns, outer) & ~ellipse(rows, columns, inner)
 
 
+def over(score: Column, least: float = 0.5) -> Column:
+    """Predicate: a score above the threshold."""
+    return score > F.lit(least)
+
+
 def intersect(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
     return a.join(b, on, "left_semi")
 

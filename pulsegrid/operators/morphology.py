@@ -95,6 +95,11 @@ def disk_of(rows: int, columns: int, radius: float, center: tuple[float, float])
     return (y - center[0]) ** 2 + (x - center[1]) ** 2 <= radius**2
 
 
+#: Fixed values of branch labelling: the weight of a pixel itself and the sum from which it is a crossing,
+#: the disk cut out around crossings, and the one by which pieces grow into seeds.
+SELF, CROSSING, CUT, SEED = 10, 13, 2, 1
+
+
 def branches(mask: np.ndarray, center: tuple[float, float], r1: float = 0.1) -> np.ndarray:
     """Vessel branches of a mask: skeleton cut at crossings and around the disc, grown back over the mask.
 
@@ -105,10 +110,10 @@ def branches(mask: np.ndarray, center: tuple[float, float], r1: float = 0.1) ->
     around = disk_of(h, w, r1, (center[1] / w, center[0] / h))
     lines = skeleton(mask) & ~around
     padded = np.pad(lines.astype(int), 1)
-    near = sum(padded[1 + dy : 1 + dy + h, 1 + dx : 1 + dx + w] for dy, dx in _EIGHT) + 10 * lines
-    pieces = lines & ~dilate(near >= 13, 2)
+    near = sum(padded[1 + dy : 1 + dy + h, 1 + dx : 1 + dx + w] for dy, dx in _EIGHT) + SELF * lines
+    pieces = lines & ~dilate(near >= CROSSING, CUT)
     count = label(pieces).max()
-    basins = watershed(~dilate(pieces, 1)) if count else np.zeros(mask.shape, int)
+    basins = watershed(~dilate(pieces, SEED)) if count else np.zeros(mask.shape, int)
     edge = np.zeros(mask.shape, bool)
     for axis in (0, 1):
         a = np.diff(basins, axis=axis) != 0
@@ -145,46 +150,77 @@ def frangi(image: np.ndarray, sigmas=range(1, 10, 2), beta: float = 0.5) -> np.n
     return best
 
 
-def biharmonic_matrix(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For a mask of unknown pixels: their places, known places, and the matrix known -> unknown.
+def laplacian(v: np.ndarray, degree: np.ndarray) -> np.ndarray:
+    """Each pixel times its number of neighbours, less them."""
+    out = degree * v
+    out[1:] -= v[:-1]
+    out[:-1] -= v[1:]
+    out[:, 1:] -= v[:, :-1]
+    out[:, :-1] -= v[:, 1:]
+    return out
 
-    Solves a zero biharmonic stencil (the Laplacian of the Laplacian, each over the neighbours
-    there are) at every unknown pixel; depends on the mask alone.
-    """
-    h, w = mask.shape
-    n = h * w
-    index = np.arange(n).reshape(h, w)
 
-    def laplacian_row(y, x):
-        near = [(y + dy, x + dx) for dy, dx in _FOUR if 0 <= y + dy < h and 0 <= x + dx < w]
-        return [(index[y, x], float(len(near)))] + [(index[p], -1.0) for p in near]
+def biharmonic_fill(image: np.ndarray, mask: np.ndarray, tolerance: float = 1e-11, most: int = 20_000) -> np.ndarray:
+    """The image with masked pixels such that the Laplacian of the Laplacian is 0 at each; values stay in the known range.
 
-    unknown = np.flatnonzero(mask)
-    rows = np.zeros((len(unknown), n))
-    for k, u in enumerate(unknown):
-        for j, c in laplacian_row(*divmod(u, w)):
-            for i, d in laplacian_row(*divmod(j, w)):
-                rows[k, i] += c * d
-    known = np.flatnonzero(~mask.ravel() & (np.abs(rows).sum(0) > 0))
-    return unknown, known, -np.linalg.solve(rows[:, unknown], rows[:, known]) if len(known) and len(unknown) else np.zeros((len(unknown), len(known)))
+    Conjugate gradients on the stencil, in the rectangle that the masked pixels touch: no matrix
+    is made, so the memory is a few images.  Without known pixels the fill is 0.
+    """
+    if not mask.any():
+        return image.astype(float)
+    if mask.all():
+        return np.zeros(image.shape)
+    y, x = np.nonzero(mask)
+    box = tuple(slice(max(0, k.min() - 3), k.max() + 4) for k in (y, x))
+    full, known = image.astype(float).copy(), image[~mask]
+    h, w = mask.shape
+    degree = np.full((h, w), 4.0)
+    for edge in (np.s_[0], np.s_[-1], np.s_[:, 0], np.s_[:, -1]):
+        degree[edge] -= 1
+    full[mask] = known.mean()
+    m, d = mask[box], degree[box]
+
+    def twice(v):
+        # the rectangle's own edge is three pixels off every masked pixel, or the image's
+        return laplacian(laplacian(v, d), d)
+
+    part = full[box]
+    scale = np.where(m, 1 / (d * d + d), 0.0)  # the stencil's diagonal
+    u = np.zeros(part.shape)
+    r = np.where(m, -twice(part), 0.0)
+    z = scale * r
+    p, rz, goal = z, (r * z).sum(), tolerance**2 * max((r * r).sum(), np.finfo(float).tiny)
+    for _ in range(most):
+        if (r * r).sum() <= goal:
+            break
+        q = np.where(m, twice(p), 0.0)
+        step = rz / (p * q).sum()
+        u += step * p
+        r -= step * q
+        z = scale * r
+        rz, before = (r * z).sum(), rz
+        p = z + (rz / before) * p
+    full[mask] = np.clip((part + u)[m], known.min(), known.max())
+    return full
 
 
 def shift_of(reference: np.ndarray, target: np.ndarray) -> tuple[int, int]:
-    """The whole-pixel shift that lays target over reference, by phase correlation."""
+    """The whole-pixel shift that lays target over reference, by phase correlation; the second half of an axis is negative."""
     cross = np.fft.fft2(reference) * np.conj(np.fft.fft2(target))
-    peak = np.unravel_index(np.argmax(np.abs(np.fft.ifft2(cross / (np.abs(cross) + 1e-8)))), reference.shape)
-    return tuple(int(p - n if p > n // 2 else p) for p, n in zip(peak, reference.shape, strict=True))
+    peak = np.unravel_index(np.argmax(np.fft.ifft2(cross / (np.abs(cross) + 1e-8)).real), reference.shape)
+    return tuple(int(p if p < n // 2 else p - n) for p, n in zip(peak, reference.shape, strict=True))
+
+
+def moved(frame: np.ndarray, shift: tuple[int, int]) -> np.ndarray:
+    """A frame moved by whole pixels; what comes in repeats the edge."""
+    y = np.clip(np.arange(frame.shape[0]) - shift[0], 0, frame.shape[0] - 1)
+    x = np.clip(np.arange(frame.shape[1]) - shift[1], 0, frame.shape[1] - 1)
+    return frame[y][:, x]
 
 
 def register(frames: np.ndarray, reference: int = 0) -> np.ndarray:
-    """Frames moved onto the reference frame; what comes in repeats the edge."""
-    out = np.empty_like(frames)
-    for k, f in enumerate(frames):
-        dy, dx = shift_of(frames[reference], f)
-        y = np.clip(np.arange(f.shape[0]) - dy, 0, f.shape[0] - 1)
-        x = np.clip(np.arange(f.shape[1]) - dx, 0, f.shape[1] - 1)
-        out[k] = f[y][:, x]
-    return out
+    """Frames moved onto the reference frame."""
+    return np.stack([moved(f, shift_of(frames[reference], f)) for f in frames])
 
 
 _MASKS = {"largest": largest, "skeleton": skeleton}
@@ -207,48 +243,73 @@ def per_image(mask: DataFrame, rows: int, columns: int, kind: str) -> DataFrame:
     return mask.groupBy("acq_id").applyInPandas(run, "acq_id string, y int, x int")
 
 
-def label_branches(mask: DataFrame, rows: int, columns: int, center: tuple[float, float], r1: float = 0.1) -> DataFrame:
-    """(acq_id, y, x, branch) of every acquisition's vessel mask."""
+def label_branches(mask: DataFrame, rows: int, columns: int, disc: DataFrame, r1: float = 0.1) -> DataFrame:
+    """(acq_id, y, x, branch) of every acquisition's vessel mask, cut around its optic disc (acq_id, center)."""
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        out = branches(_as_mask(frame, rows, columns), center, r1)
+        out = branches(_as_mask(frame, rows, columns), (frame["_cx"].iloc[0], frame["_cy"].iloc[0]), r1)
         y, x = np.nonzero(out)
         return pd.DataFrame({"acq_id": frame["acq_id"].iloc[0], "y": y, "x": x, "branch": out[y, x]})
 
-    return mask.groupBy("acq_id").applyInPandas(run, "acq_id string, y int, x int, branch int")
+    centers = disc.select("acq_id", F.col("center.x").cast("double").alias("_cx"), F.col("center.y").cast("double").alias("_cy"))
+    return mask.select("acq_id", "y", "x").join(centers, "acq_id").groupBy("acq_id").applyInPandas(run, "acq_id string, y int, x int, branch int")
 
 
 def frangi_mask(image: DataFrame, rows: int, columns: int) -> DataFrame:
     """Pixels whose ridge strength is exactly 0, of images (acq_id, y, x, v)."""
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        v = np.zeros((rows, columns))
-        v[frame["y"], frame["x"]] = frame["v"]
-        y, x = np.nonzero(frangi(v) == 0)
+        y, x = np.nonzero(frangi(_as_image(frame, rows, columns)) == 0)
         return pd.DataFrame({"acq_id": frame["acq_id"].iloc[0], "y": y, "x": x})
 
     return image.groupBy("acq_id").applyInPandas(run, "acq_id string, y int, x int")
 
 
+def _as_image(frame: pd.DataFrame, rows: int, columns: int, value: str = "v") -> np.ndarray:
+    v = np.zeros((rows, columns))
+    v[frame["y"].to_numpy(), frame["x"].to_numpy()] = frame[value].to_numpy()
+    return v
+
+
+def _as_rows(frame: pd.DataFrame, image: np.ndarray) -> pd.DataFrame:
+    rows, columns = image.shape
+    place = np.arange(rows * columns)
+    return pd.DataFrame({"acq_id": frame["acq_id"].iloc[0], "t": frame["t"].iloc[0], "y": place // columns, "x": place % columns, "v": image.ravel()})
+
+
+_FRAME = "acq_id string, t int, y int, x int, v double"
+
+
+def blur(video: DataFrame, rows: int, columns: int, sigma: float) -> DataFrame:
+    """Gaussian blur of every frame (acq_id, t, y, x, v): a frame is one group, each axis one matrix product.
+
+    Missing pixels count as 0.
+    """
+    from ..functions import coefficients
+
+    down, across = coefficients.gaussian(rows, sigma), coefficients.gaussian(columns, sigma)
+    return video.groupBy("acq_id", "t").applyInPandas(lambda f: _as_rows(f, down @ _as_image(f, rows, columns) @ across.T), _FRAME)
+
+
 def inpaint(video: DataFrame, mask: DataFrame, rows: int, columns: int) -> DataFrame:
-    """Fill the masked pixels of every frame (acq_id, t, y, x, v); values stay in the known range.
+    """Fill the masked pixels (acq_id, y, x) of every frame (acq_id, t, y, x, v); values stay in the known range.
 
-    The mask's system is solved once on the driver (one image's mask) and goes out as a matrix;
-    each frame is then one product.
+    Each frame is one group with its acquisition's mask joined on, and is solved there; nothing
+    comes to the driver.
     """
-    m = np.zeros((rows, columns), bool)
-    for r in mask.select("y", "x").toLocalIterator():
-        m[r["y"], r["x"]] = True
-    unknown, known, matrix = biharmonic_matrix(m)
-    spark = video.sparkSession
-    shared = spark.sparkContext.broadcast((unknown, known, matrix))
+    marked = video.join(mask.select("acq_id", "y", "x", F.lit(True).alias("hidden")), ["acq_id", "y", "x"], "left")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        u, k, w = shared.value
-        v = np.zeros(rows * columns)
-        v[(frame["y"] * columns + frame["x"]).to_numpy()] = frame["v"]
-        hidden = np.zeros(rows * columns, bool)
-        hidden[u] = True
-        v[u] = np.clip(w @ v[k], v[~hidden].min(), v[~hidden].max()) if (~hidden).any() else 0.0
-        place = np.arange(rows * columns)
-        return pd.DataFrame({"acq_id": frame["acq_id"].iloc[0], "t": frame["t"].iloc[0], "y": place // columns, "x": place % columns, "v": v})
-
-    return video.groupBy("acq_id", "t").applyInPandas(run, "acq_id string, t int, y int, x int, v double")
+        hidden = _as_mask(frame[frame["hidden"].notna()], rows, columns)
+        return _as_rows(frame, biharmonic_fill(_as_image(frame, rows, columns), hidden))
+
+    return marked.groupBy("acq_id", "t").applyInPandas(run, _FRAME)
+
+
+def register_video(video: DataFrame, rows: int, columns: int, reference: int = 0) -> DataFrame:
+    """Every frame (acq_id, t, y, x, v) moved onto its acquisition's reference frame, by phase correlation."""
+    fixed = video.where(F.col("t") == reference).select("acq_id", "y", "x", F.col("v").alias("fixed"))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        image = _as_image(frame, rows, columns)
+        return _as_rows(frame, moved(image, shift_of(_as_image(frame, rows, columns, "fixed"), image)))
+
+    return video.join(fixed, ["acq_id", "y", "x"]).groupBy("acq_id", "t").applyInPandas(run, _FRAME)

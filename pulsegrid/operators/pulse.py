@@ -71,6 +71,28 @@ def systole(x: Column, rate: float, height: float = 95, gap: int = 10) -> Column
     return A.let(A.gradient(x), lambda g: A.minimum_gap(A.find_peaks(g, A.percentile(g, height), distance), gap))
 
 
+def beat_marks(x: Column, rate: float, height: float = 95, gap: int = 10) -> Column:
+    """Systoles with the largest and the smallest sample of each beat: struct<systole, maximum, minimum>.
+
+    The maximum is looked for in the first half of the beat that begins at a systole (after the
+    last one, to the end), the minimum in the second half of the beat that ends there (before
+    the first one, from the start); the first of equals.  Empty arrays where there is no systole.
+    """
+    def first_of(lo, hi, largest):
+        part = F.slice(x, lo + 1, hi - lo)
+        return lo + F.array_position(part, F.array_max(part) if largest else F.array_min(part)).cast("int") - 1
+
+    def marks(s):
+        def half(i):
+            return F.rint((F.get(s, i + 1) - F.get(s, i)) / 2).cast("int")
+
+        top = F.transform(s, lambda p, i: F.when(i == F.size(s) - 1, first_of(p, F.size(x), True)).otherwise(first_of(p, p + half(i) + 1, True)))
+        low = F.transform(s, lambda p, i: F.when(i == 0, first_of(F.lit(0), p + 1, False)).otherwise(first_of(F.get(s, i - 1) + half(i - 1), p, False)))
+        return F.struct(s.alias("systole"), top.alias("maximum"), low.alias("minimum"))
+
+    return A.let(systole(x, rate, height, gap), marks)
+
+
 def waveform_systole(x: Column, height: float = 95, distance: int = 40, gap: int = 10) -> Column:
     """Systole samples of a velocity waveform, after the order-1 low-pass."""
     return A.let(A.binomial(x), lambda s: A.let(A.gradient(s), lambda g: A.minimum_gap(A.find_peaks(g, A.percentile(g, height), distance), gap)))
@@ -124,7 +146,7 @@ def branch_signals(video: DataFrame, labels: DataFrame, length: int, rate: float
     means = video.join(labels, ["acq_id", "y", "x"]).groupBy("acq_id", "branch", "t").agg(F.avg("v").alias("v"))
     rows = means.groupBy("acq_id", "branch").agg(F.transform(F.sort_array(F.collect_list(F.struct("t", "v"))), lambda p: p["v"]).alias("x"))
     rows = rows.where((F.size("x") == length) & ~F.exists("x", lambda v: v.isNull()))
-    smooth = A.linear(F.col("x"), C.lowpass(length, rate))
+    smooth = A.lowpass(F.col("x"), rate)
     window = round(0.1 * rate)
     return rows.withColumn("x", A.let(smooth, lambda s: A.moving_mean(s, window)) if window > 1 else smooth)
 

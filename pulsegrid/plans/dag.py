@@ -98,12 +98,17 @@ class Graph:
 
 @dataclass
 class Engine:
-    """Runs a graph against an artifact store, reusing what is unchanged."""
+    """Runs a graph against an artifact store, reusing what is unchanged, also between processes.
+
+    In debug mode targets run again, and other steps only if an output is missing, whatever
+    their settings and inputs are now.  ``export`` is told of every step that was run or reused.
+    """
 
     graph: Graph
     store: Any
     config: dict[str, Any] = field(default_factory=dict)
-    fingerprints: dict[str, str] = field(default_factory=dict)
+    debug: bool = False
+    export: Callable[[str, dict[str, Any]], None] | None = None
 
     def settings(self, step: Step) -> dict[str, Any]:
         def look(path: str) -> Any:
@@ -117,16 +122,18 @@ class Engine:
     def decide(self, targets: Iterable[str] | None = None, force: bool = False) -> dict[str, bool]:
         """For each selected step, whether it would run; asking changes nothing.
 
-        A step runs if it is forced, an output is missing, its fingerprint has changed, or a step
-        it depends on runs.  The last selected step always runs.
+        A step runs if it is forced, an output is missing, its fingerprint has changed (not in
+        debug mode), or a step it depends on runs.  The last selected step always runs.
         """
         selected = self.graph.upstream(targets)
         chosen = set(targets or [])
         runs: dict[str, bool] = {}
         for n in selected:
             step = self.graph.steps[n]
-            stale = any(not self.store.has(k) for k in step.produces) or self.fingerprints.get(n) != self.fingerprint(step)
-            runs[n] = stale or any(runs.get(b) for b in self.graph.before[n]) or (force and (n in chosen or not chosen)) or n == selected[-1]
+            runs[n] = any(runs.get(b) for b in self.graph.before[n]) or n == selected[-1] or any(not self.store.has(k) for k in step.produces)
+            runs[n] = runs[n] or (force and (n in chosen or not chosen)) or (self.debug and n in chosen)
+            # inputs are all there by now: what makes them doesn't run
+            runs[n] = runs[n] or (not self.debug and self.store.steps.get(n) != self.fingerprint(step))
         return runs
 
     def fingerprint(self, step: Step) -> str:
@@ -145,6 +152,7 @@ class Engine:
             step = self.graph.steps[n]
             if not runs:
                 tell("step_skipped", n)
+                self._export(step)
                 continue
             tell("step_running", n)
             began = time.monotonic()
@@ -154,6 +162,17 @@ class Engine:
                 raise RuntimeError(f"{n} did not make {', '.join(absent)}")
             for k in step.produces:
                 self.store.put(k, made[k])
-            self.fingerprints[n] = self.fingerprint(step)
+            self.store.done(n, self.fingerprint(step))
             tell("step_done", n, time.monotonic() - began)
+            self._export(step)
+        self.store.tidy()
         return self.store.all()
+
+    def _export(self, step: Step) -> None:
+        if self.export:
+            self.export(step.name, {k: self.store.get(k) for k in step.produces})
+
+    def cached(self, name: str) -> bool:
+        """Whether a step would be reused; asking changes nothing."""
+        step = self.graph.steps[name]
+        return all(self.store.has(k) for k in (*step.produces, *step.requires)) and (self.debug or self.store.steps.get(name) == self.fingerprint(step))

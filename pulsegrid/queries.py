@@ -15,7 +15,9 @@ from .functions import coefficients as C
 from .operators import images as I
 from .operators import inference as N
 from .operators import linear as L
+from .operators import morphology
 from .operators import masks as M
+from .operators import pulse
 
 #: Samples of a signal, pixels of a row, sampling rate in Hz.
 T, WIDTH, RATE = 64, 20, 40.0
@@ -67,15 +69,6 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.withColumn("v", F.round("v", 6) + 0.0)
 
 
-def values(matrix) -> str:
-    """A matrix as SQL rows (o, w)."""
-    return ", ".join(f"({o}, [{', '.join(repr(float(x)) for x in row)}]::DOUBLE[])" for o, row in enumerate(matrix))
-
-
-def matrix_sql(matrix) -> str:
-    return f"WITH m(o, w) AS (VALUES {values(matrix)}) SELECT vec_id, o::BIGINT AS t, round(list_dot_product(w, embedding::DOUBLE[]), 6) + 0.0 AS v FROM embeddings, m"
-
-
 # ---- images and videos
 
 
@@ -206,22 +199,74 @@ def moving_mean_even(spark, sf_dir):
     return rounded(long(signals(spark, sf_dir), A.moving_mean(F.col("x"), 6), "vec_id"))
 
 
-@query(matrix_sql(C.lowpass(T, RATE)))
+def _biquads(wn: str) -> str:
+    """Two second-order sections of the order-4 Butterworth low-pass at a share of the Nyquist frequency, as columns of a table k."""
+    return f"""w AS (SELECT tan(pi() * {wn} / 2) AS w), k AS (SELECT w * w / n1 AS b1, 2 * (w * w - 1) / n1 AS p1, (1 - 2 * cos(pi() / 8) * w + w * w) / n1 AS q1, w * w / n2 AS b2, 2 * (w * w - 1) / n2 AS p2, (1 - 2 * cos(3 * pi() / 8) * w + w * w) / n2 AS q2
+FROM (SELECT w, 1 + 2 * cos(pi() / 8) * w + w * w AS n1, 1 + 2 * cos(3 * pi() / 8) * w + w * w AS n2 FROM w))"""
+
+
+def _pass(name: str, source: str, n: int) -> str:
+    """Both sections over the lists x of a table, from the steady state of the first value; lists y of n values."""
+    def section(k, x):
+        return f"b{k} * {x} + s{k}", f"2 * b{k} * {x} - p{k} * (b{k} * {x} + s{k}) + r{k}", f"b{k} * {x} - q{k} * (b{k} * {x} + s{k})"
+
+    y1, s1, r1 = section(1, "x[t + 1]")
+    y2, s2, r2 = section(2, f"({y1})")
+    return f"""{name}_r AS (SELECT vec_id, x, 0 AS t, NULL::DOUBLE AS y, x[1] * (1 - b1) AS s1, x[1] * (b1 - q1) AS r1, x[1] * (1 - b2) AS s2, x[1] * (b2 - q2) AS r2, b1, p1, q1, b2, p2, q2 FROM {source}, k
+UNION ALL SELECT vec_id, x, t + 1, {y2}, {s1}, {r1}, {s2}, {r2}, b1, p1, q1, b2, p2, q2 FROM {name}_r WHERE t < {n}),
+{name} AS (SELECT vec_id, list(y ORDER BY t) AS y FROM {name}_r WHERE t > 0 GROUP BY 1)"""
+
+
+#: Forward and backward over the signal, extended by 15 samples at both ends, point-mirrored; stated as sections, where the code has one recursion.
+FILTERED = f"""WITH RECURSIVE {_biquads(f"(15.0::DOUBLE / {RATE / 2})")},
+e AS (SELECT vec_id, list_concat(list_concat([2 * v[1] - v[i] for i in range(16, 1, -1)], v), [2 * v[64] - v[64 - i] for i in range(1, 16)]) AS x FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)),
+{_pass("f", "e", T + 30)}, g AS (SELECT vec_id, list_reverse(y) AS x FROM f), {_pass("h", "g", T + 30)}, o AS (SELECT vec_id, list_reverse(y) AS y FROM h)"""
+
+
+@query(f"{FILTERED} SELECT vec_id, t::BIGINT AS t, round(y[t + 16], 6) + 0.0 AS v FROM o, (SELECT unnest(range(64)) AS t)")
 def lowpass_filtfilt(spark, sf_dir):
-    return rounded(long(signals(spark, sf_dir), A.linear(F.col("x"), C.lowpass(T, RATE)), "vec_id"))
+    return rounded(long(signals(spark, sf_dir), A.lowpass(F.col("x"), RATE), "vec_id"))
+
 
+#: The cubic fit of 21 samples in discrete orthogonal polynomials on -10 to 10.
+GRAM = """p AS (SELECT j, 1.0::DOUBLE AS p0, j::DOUBLE AS p1, j * j - 110 / 3.0::DOUBLE AS p2, j * j * j - 329 / 5.0::DOUBLE * j AS p3 FROM (SELECT unnest(range(-10, 11)) AS j)),
+n AS (SELECT sum(p0 * p0) AS n0, sum(p1 * p1) AS n1, sum(p2 * p2) AS n2, sum(p3 * p3) AS n3 FROM p),
+w AS (SELECT a.j AS i, b.j AS j, a.p0 * b.p0 / n0 + a.p1 * b.p1 / n1 + a.p2 * b.p2 / n2 + a.p3 * b.p3 / n3 AS w FROM p a, p b, n),
+c AS (SELECT t, greatest(10, least(53, t)) AS c FROM (SELECT unnest(range(64)) AS t))"""
+SMOOTHED = f"WITH {SIG}, {GRAM}, s AS (SELECT vec_id, c.t, sum(w * v) AS s FROM c JOIN w ON w.i = c.t - c JOIN sig ON sig.t = c + w.j GROUP BY 1, 2)"
 
-@query(matrix_sql(C.savitzky_golay(T, 21, 3)))
+
+@query(f"{SMOOTHED} SELECT vec_id, t::BIGINT AS t, round(s, 6) + 0.0 AS v FROM s")
 def savitzky_golay(spark, sf_dir):
-    return rounded(long(signals(spark, sf_dir), A.linear(F.col("x"), C.savitzky_golay(T, 21, 3)), "vec_id"))
+    return rounded(long(signals(spark, sf_dir), A.savitzky_golay(F.col("x"), 21, 3), "vec_id"))
+
+
+@query(f"""{SMOOTHED}, r AS (SELECT vec_id, t, abs(v - s) AS r FROM sig JOIN s USING (vec_id, t))
+SELECT vec_id, t::BIGINT AS t, r > 2 * 1.4826::DOUBLE * quantile_cont(r, 0.5) OVER (PARTITION BY vec_id) AS flag FROM r""")
+def model_outliers(spark, sf_dir):
+    return long(signals(spark, sf_dir), A.model_outliers(F.col("x"), 21, 3, 2.0), "vec_id", name="flag")
 
 
-@query(matrix_sql(C.gaussian(T, 0.07 * T)))
+@query(f"""WITH {SIG}, j AS (SELECT j, exp(-j * j / (2 * (0.07::DOUBLE * 64) ** 2)) AS w FROM (SELECT unnest(range(-9, 10)) AS j)), n AS (SELECT sum(w) AS n FROM j),
+i AS (SELECT t AS o, w / n AS w, CASE WHEN (t + j + 128) % 128 < 64 THEN (t + j + 128) % 128 ELSE 127 - (t + j + 128) % 128 END AS t FROM j, n, (SELECT unnest(range(64)) AS t))
+SELECT vec_id, o::BIGINT AS t, round(sum(w * v), 6) + 0.0 AS v FROM i JOIN sig USING (t) GROUP BY 1, 2""")
 def gaussian_blur(spark, sf_dir):
     made = L.apply_relation(samples(spark, sf_dir), C.gaussian(T, 0.07 * T), ["vec_id"])
     return rounded(made).select("vec_id", F.col("t").cast("long").alias("t"), "v")
 
 
+@query(f"""WITH {SIG}, h AS (SELECT max(vec_id) // {WIDTH} + 1 AS h FROM embeddings), m AS (SELECT vec_id // {WIDTH} AS y, vec_id % {WIDTH} AS x, v FROM sig WHERE t = 0),
+j AS (SELECT j, exp(-j * j / 8.0::DOUBLE) AS w FROM (SELECT unnest(range(-4, 5)) AS j)), n AS (SELECT sum(w) AS n FROM j),
+a AS (SELECT y AS o, CASE WHEN (y + j + 2 * h) % (2 * h) < h THEN (y + j + 2 * h) % (2 * h) ELSE 2 * h - 1 - (y + j + 2 * h) % (2 * h) END AS y, w / n AS w FROM j, n, h, (SELECT DISTINCT y FROM m)),
+b AS (SELECT x AS o, CASE WHEN (x + j + 40) % 40 < {WIDTH} THEN (x + j + 40) % 40 ELSE 39 - (x + j + 40) % 40 END AS x, w / n AS w FROM j, n, (SELECT DISTINCT x FROM m)),
+d AS (SELECT a.o AS y, x, sum(w * v) AS v FROM a JOIN m USING (y) GROUP BY 1, 2)
+SELECT y::INT AS y, b.o::INT AS x, round(sum(w * v), 6) + 0.0 AS v FROM b JOIN d USING (x) GROUP BY 1, 2""")
+def frame_blur(spark, sf_dir):
+    g, rows = _grid(spark, sf_dir)
+    frame = g.join(samples(spark, sf_dir).where("t = 0").select("vec_id", "t", "v"), "vec_id").select(F.lit("a").alias("acq_id"), "t", "y", "x", "v")
+    return rounded(morphology.blur(frame, rows, WIDTH, 2.0)).select("y", "x", "v")
+
+
 @query(f"WITH {SIG} SELECT vec_id, t::BIGINT AS t, round(CASE WHEN t IN (0, 63) THEN v ELSE lag(v) OVER w / 4 + v / 2 + lead(v) OVER w / 4 END, 6) + 0.0 AS v FROM sig {W}")
 def waveform_lowpass(spark, sf_dir):
     return rounded(long(signals(spark, sf_dir), A.binomial(F.col("x")), "vec_id"))
@@ -241,11 +286,9 @@ def dft_power(spark, sf_dir):
 f AS (SELECT label, k, sqrt(sum(v * cos(2 * pi() * k * t / 64)) ** 2 + sum(v * sin(2 * pi() * k * t / 64)) ** 2) AS a FROM b, k WHERE {RATE} * k / 64 > 0.5 AND {RATE} * k / 64 < 2 GROUP BY 1, 2)
 SELECT label, round_even({RATE} / ({RATE} * arg_max(k, a) / 64), 0)::BIGINT AS period FROM f GROUP BY 1""")
 def dominant_period(spark, sf_dir):
-    from .operators.pulse import period
-
     means = I.temporal_mean(samples(spark, sf_dir), ["label", "t"])
     rows = means.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("t", "v"))), lambda p: p["v"]).alias("x"))
-    return rows.select("label", period(F.col("x"), T, RATE).cast("long").alias("period"))
+    return rows.select("label", pulse.period(F.col("x"), T, RATE).cast("long").alias("period"))
 
 
 @query(f"""WITH {SIG}, z AS (SELECT vec_id, t, v - avg(v) OVER (PARTITION BY vec_id) AS v FROM sig), k AS (SELECT unnest(range(33)) AS k),
@@ -253,9 +296,7 @@ f AS (SELECT vec_id, k, {RATE} * k / 64 AS f, (sum(v * cos(2 * pi() * k * t / 64
 q AS (SELECT vec_id, k, f, p / sum(p) OVER (PARTITION BY vec_id) AS p FROM f), d AS (SELECT vec_id, arg_max(f, p) AS f0, count(*) AS n FROM q GROUP BY 1)
 SELECT vec_id, 0.7 * sum(CASE WHEN f > f0 - 0.2 AND f < f0 + 0.2 THEN p ELSE 0 END) + 0.3 * (1 + sum(p * ln(p + 2.220446049250313e-16::DOUBLE)) / ln(any_value(n))) > 0.3 AS valid FROM q JOIN d USING (vec_id) GROUP BY 1""")
 def periodicity_validity(spark, sf_dir):
-    from .operators.pulse import is_periodic
-
-    return signals(spark, sf_dir).select("vec_id", is_periodic(F.col("x"), T, RATE).alias("valid"))
+    return signals(spark, sf_dir).select("vec_id", pulse.is_periodic(F.col("x"), T, RATE).alias("valid"))
 
 
 CLAMPED = f"""c AS (SELECT vec_id, embedding::DOUBLE[] AS x, unnest(range(64)) AS t FROM embeddings),
@@ -363,32 +404,74 @@ def heartbeat_correction(spark, sf_dir):
     return rounded(long(signals(spark, sf_dir), A.heartbeat_correction(F.col("x"), F.lit(12), T, 10.0), "vec_id"))
 
 
-@query()
+#: Peaks of |gradient| at least 9 samples apart, then those that stand out.  The prominence of 1e-6 only leaves out flat tops.
+VOTE = f"""WITH {SIG}, g AS (SELECT vec_id, t, {GRADIENT} AS g FROM sig {W}), h AS (SELECT *, abs(g) AS s, lag(abs(g)) OVER w AS a, lead(abs(g)) OVER w AS b FROM g {W}),
+p AS (SELECT vec_id, list_reduce(list([t] ORDER BY s DESC, t DESC), lambda r, c: CASE WHEN len(list_filter(r, lambda j: abs(j - c[1]) < 9)) > 0 THEN r ELSE list_concat(r, c) END) AS p FROM h WHERE s > a AND s > b GROUP BY 1),
+q AS (SELECT p.vec_id, k.t, g.g, abs(g.g) AS s FROM p, (SELECT unnest(range(64)) AS t) k JOIN g USING (t) WHERE g.vec_id = p.vec_id AND list_contains(p, k.t)),
+l AS (SELECT q.vec_id, q.t, any_value(q.g) AS g, any_value(q.s) AS s, max(h.t) FILTER (h.t < q.t AND h.s > q.s) AS lo, min(h.t) FILTER (h.t > q.t AND h.s > q.s) AS hi FROM q JOIN h USING (vec_id) GROUP BY 1, 2),
+o AS (SELECT l.vec_id, l.t, any_value(l.g) AS g, any_value(l.s) - greatest(min(h.s) FILTER (h.t <= l.t AND h.t > coalesce(lo, -1)), min(h.s) FILTER (h.t >= l.t AND h.t < coalesce(hi, 64))) AS o FROM l JOIN h USING (vec_id) GROUP BY 1, 2)"""
+
+
+@query(f"{VOTE}, c AS (SELECT vec_id, count(*) FILTER (g > 0) > count(*) / 2 AS artery FROM o WHERE o >= 1e-6 GROUP BY 1) SELECT vec_id, coalesce(artery, false) AS artery FROM embeddings LEFT JOIN c USING (vec_id)")
 def artery_vein_vote(spark, sf_dir):
     return signals(spark, sf_dir).select("vec_id", A.artery_vote(F.col("x"), F.lit(12)).alias("artery"))
 
 
-@query()
+#: Systoles at 16 Hz: peaks of the gradient 8 samples apart, then 10.
+P8 = f"WITH {SIG}, " + PEAKS.format(q="0.95", d="8")
+SYSTOLE = f"""{P8}, y AS (SELECT vec_id, list_reduce([[x] for x in list_sort(p)], lambda s, c: CASE WHEN c[1] - s[-1] < 10 THEN s ELSE list_concat(s, c) END) AS s FROM p)"""
+
+
+@query(f"{SYSTOLE} SELECT vec_id, unnest(s)::BIGINT AS peak FROM y")
 def systole_index(spark, sf_dir):
-    from .operators.pulse import systole
+    return signals(spark, sf_dir).select("vec_id", pulse.systole(F.col("x"), 16.0).alias("s")).select("vec_id", F.explode(F.col("s").cast("array<bigint>")).alias("peak"))
 
-    return signals(spark, sf_dir).select("vec_id", systole(F.col("x"), 16.0).alias("s")).select("vec_id", F.explode(F.col("s").cast("array<bigint>")).alias("peak"))
 
+@query(f"""{SYSTOLE}, e AS (SELECT vec_id, s, embedding::DOUBLE[] AS x, unnest(range(1, len(s) + 1)) AS i FROM y JOIN embeddings USING (vec_id)),
+r AS (SELECT vec_id, x, s[i] AS s, CASE WHEN i = len(s) THEN 64 ELSE s[i] + round_even((s[i + 1] - s[i]) / 2.0, 0)::INT + 1 END AS top, CASE WHEN i = 1 THEN 0 ELSE s[i - 1] + round_even((s[i] - s[i - 1]) / 2.0, 0)::INT END AS low, CASE WHEN i = 1 THEN s[i] + 1 ELSE s[i] END AS stop FROM e)
+SELECT vec_id, s::BIGINT AS systole, (s - 1 + list_position(x[s + 1 : top], list_max(x[s + 1 : top])))::BIGINT AS maximum, (low - 1 + list_position(x[low + 1 : stop], list_min(x[low + 1 : stop])))::BIGINT AS minimum FROM r""")
+def beat_marks(spark, sf_dir):
+    marks = signals(spark, sf_dir).select("vec_id", pulse.beat_marks(F.col("x"), 16.0).alias("b")).select("vec_id", F.explode(F.arrays_zip("b.systole", "b.maximum", "b.minimum")).alias("m"))
+    return marks.select("vec_id", *[F.col("m")[c].cast("long").alias(c) for c in ("systole", "maximum", "minimum")])
 
-@query()
+
+def _diasys(source: str) -> str:
+    """Systole and diastole frames (id, phase, t) from a table (id, x, s) of signals and their systoles."""
+    return f"""f AS (SELECT id, x, s, round_even(len(x) / greatest(len(s), 1), 0) AS fp FROM {source}),
+z AS (SELECT id, x, unnest(s) AS i, round_even(fp * 0.35::DOUBLE, 0)::INT AS a, round_even(fp * 0.6::DOUBLE, 0)::INT AS b, round_even(fp * 0.95::DOUBLE, 0)::INT AS c FROM f),
+u AS (SELECT id, x, 's' AS phase, i AS lo, i + a AS hi FROM z UNION ALL SELECT id, x, 'd', i + b, i + c FROM z),
+v AS (SELECT id, phase, x, lo, least(lo, len(x) - 1) AS l, least(hi, len(x) - 1) AS h FROM u),
+e AS (SELECT id, phase, lo, len(x) AS n, greatest(lo, l - 1 + CASE phase WHEN 's' THEN list_position(x[l + 1 : greatest(h, l) + 1], list_max(x[l + 1 : greatest(h, l) + 1])) ELSE list_position(x[l + 1 : greatest(h, l) + 1], list_min(x[l + 1 : greatest(h, l) + 1])) END) AS last FROM v),
+t AS (SELECT DISTINCT id, phase, unnest(CASE WHEN lo <= n - 1 THEN range(lo, last + 1) ELSE [n - 1] END) AS t FROM e),
+m AS (SELECT id, phase, t FROM t UNION ALL SELECT id, phase, 0 FROM f, (SELECT unnest(['s', 'd']) AS phase) WHERE id NOT IN (SELECT id FROM t))"""
+
+
+@query(f"""{SYSTOLE}, d AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x, coalesce(s, []) AS s FROM embeddings LEFT JOIN y USING (vec_id)), {_diasys("d")}
+SELECT id AS vec_id, phase, t::BIGINT AS frame FROM m""")
 def diasys_frames(spark, sf_dir):
-    from .operators.pulse import diasys_frames as frames
+    f = signals(spark, sf_dir).select("vec_id", pulse.diasys_frames(F.col("x"), 16.0).alias("f"))
+    one = lambda c: f.select("vec_id", F.lit(c[0]).alias("phase"), F.explode(F.col(f"f.{c}").cast("array<bigint>")).alias("frame"))
+    return one("systole").unionByName(one("diastole"))
+
 
-    return signals(spark, sf_dir).select("vec_id", frames(F.col("x"), 16.0).alias("f")).select("vec_id", F.col("f.systole").alias("systole"), F.col("f.diastole").alias("diastole"))
+@query(f"""WITH {SIG.replace("sig AS", "raw AS")}, sig AS (SELECT 0 AS vec_id, 0 AS label, t, avg(v) AS v FROM raw WHERE label = 1 GROUP BY 3), {PEAKS.format(q="0.95", d="8")},
+y AS (SELECT vec_id, list_reduce([[x] for x in list_sort(p)], lambda s, c: CASE WHEN c[1] - s[-1] < 10 THEN s ELSE list_concat(s, c) END) AS s FROM p),
+b AS (SELECT 0 AS id, list(v ORDER BY t) AS x FROM sig), d AS (SELECT id, x, coalesce(s, []) AS s FROM b LEFT JOIN y ON y.vec_id = id), {_diasys("d")},
+a AS (SELECT raw.vec_id, phase, avg(v) AS v FROM raw JOIN m USING (t) GROUP BY 1, 2), n AS (SELECT vec_id, phase, (v - min(v) OVER q) / (max(v) OVER q - min(v) OVER q + 1e-8::DOUBLE) AS v FROM a WINDOW q AS (PARTITION BY phase)),
+r AS (SELECT vec_id, sum(v) FILTER (phase = 's') - sum(v) FILTER (phase = 'd') AS v FROM n GROUP BY 1)
+SELECT vec_id, round((v - min(v) OVER ()) / (max(v) OVER () - min(v) OVER () + 1e-8::DOUBLE), 6) + 0.0 AS v FROM r""")
+def diasys_image(spark, sf_dir):
+    s = samples(spark, sf_dir)
+    x = s.where("label = 1").groupBy("t").agg(F.avg("v").alias("v")).agg(F.transform(F.sort_array(F.collect_list(F.struct("t", "v"))), lambda p: p["v"]).alias("x"))
+    return rounded(pulse.diasys_image(s, x, ["vec_id"], 16.0))
 
 
 @query()
-def diasys_image(spark, sf_dir):
-    from .operators.pulse import diasys_image as image
+def cardiac_clean(spark, sf_dir):
+    from .operators.cardiac import clean_signals
 
-    s = samples(spark, sf_dir)
-    pulse = s.where("label = 1").groupBy("t").agg(F.avg("v").alias("v")).agg(F.transform(F.sort_array(F.collect_list(F.struct("t", "v"))), lambda p: p["v"]).alias("x"))
-    return rounded(image(s, pulse, ["vec_id"], 16.0))
+    rows = clean_signals(signals(spark, sf_dir).select("vec_id", "x"))
+    return rounded(long(rows, F.col("x"), "vec_id"))
 
 
 # ---- masks
@@ -436,36 +519,66 @@ r AS (SELECT y, x, y AS sy, x AS sx FROM m UNION SELECT m.y, m.x, r.sy, r.sx FRO
 l AS (SELECT y, x, min(sy * {WIDTH} + sx) AS l FROM r GROUP BY 1, 2), c AS (SELECT l, count(*) AS n FROM l GROUP BY 1)
 SELECT y::INT AS y, x::INT AS x FROM l WHERE l = (SELECT l FROM c ORDER BY n DESC, l LIMIT 1)""")
 def largest_component(spark, sf_dir):
-    from .operators.morphology import per_image
-
     g, rows = _grid(spark, sf_dir)
-    return per_image(g.where("label < 3").select(F.lit("a").alias("acq_id"), "y", "x"), rows, WIDTH, "largest").select("y", "x")
+    return morphology.per_image(g.where("label < 3").select(F.lit("a").alias("acq_id"), "y", "x"), rows, WIDTH, "largest").select("y", "x")
 
 
 @query()
 def skeleton_labels(spark, sf_dir):
-    from .operators.morphology import per_image
-
     g, rows = _grid(spark, sf_dir)
-    return per_image(g.where("label < 5").select(F.lit("a").alias("acq_id"), "y", "x"), rows, WIDTH, "skeleton").select("y", "x")
+    return morphology.per_image(g.where("label < 5").select(F.lit("a").alias("acq_id"), "y", "x"), rows, WIDTH, "skeleton").select("y", "x")
 
 
 @query()
 def frangi_mask(spark, sf_dir):
-    from .operators.morphology import frangi_mask as frangi
-
     g, rows = _grid(spark, sf_dir)
     pixels = g.join(I.temporal_mean(samples(spark, sf_dir), ["vec_id"]), "vec_id")
-    return frangi(pixels.select(F.lit("a").alias("acq_id"), "y", "x", "v"), rows, WIDTH).select("y", "x")
+    return morphology.frangi_mask(pixels.select(F.lit("a").alias("acq_id"), "y", "x", "v"), rows, WIDTH).select("y", "x")
 
 
 @query()
 def biharmonic_inpaint(spark, sf_dir):
-    from .operators.morphology import inpaint
-
     g, rows = _grid(spark, sf_dir)
     pixels = g.join(I.temporal_mean(samples(spark, sf_dir), ["vec_id"]), "vec_id").select(F.lit("a").alias("acq_id"), F.lit(0).alias("t"), "y", "x", "v")
-    return rounded(inpaint(pixels, g.where("label = 1").select("y", "x"), rows, WIDTH)).select("y", "x", "v")
+    return rounded(morphology.inpaint(pixels, g.where("label = 1").select(F.lit("a").alias("acq_id"), "y", "x"), rows, WIDTH)).select("y", "x", "v")
+
+
+@query(f"WITH {GRID}, c AS (SELECT arg_max(x, (embedding[1], -y, -x))::DOUBLE AS cx, arg_max(y, (embedding[1], -y, -x))::DOUBLE AS cy FROM g JOIN embeddings USING (vec_id)) SELECT cx, cy FROM c")
+def brightest_center(spark, sf_dir):
+    g, _ = _grid(spark, sf_dir)
+    image = g.join(signals(spark, sf_dir).select("vec_id", F.col("x")[0].alias("v")), "vec_id").withColumn("acq_id", F.lit("a"))
+    return I.argmax_center(image, ["acq_id"]).select(F.col("center.x").alias("cx"), F.col("center.y").alias("cy"))
+
+
+@query(f"WITH {GRID}, c AS (SELECT avg(x) AS cx, avg(y) AS cy FROM g WHERE label = 1) SELECT vec_id FROM g, n, c WHERE (y / (h - 1)::DOUBLE - cx / {WIDTH}) ** 2 + (x / 19.0::DOUBLE - cy / h) ** 2 <= 0.45::DOUBLE ** 2")
+def disc_diaphragm(spark, sf_dir):
+    g, rows = _grid(spark, sf_dir)
+    g = g.withColumn("acq_id", F.lit("a"))
+    center = g.where("label = 1").groupBy("acq_id").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+    return g.join(center, "acq_id").where(M.disk(rows, WIDTH, 0.45, (F.col("cx") / WIDTH, F.col("cy") / rows))).select("vec_id")
+
+
+@query(f"WITH {SIG} SELECT vec_id, t::BIGINT AS t, round(v, 6) + 0.0 AS v FROM sig WHERE t BETWEEN 10 AND 19")
+def frame_crop(spark, sf_dir):
+    return rounded(I.crop_frames(samples(spark, sf_dir), 10, 20)).select("vec_id", F.col("t").cast("long").alias("t"), "v")
+
+
+@query(f"WITH {SIG} SELECT vec_id, t::BIGINT AS t, round(v, 6) + 0.0 AS v FROM sig")
+def video_round_trip(spark, sf_dir):
+    """To [0, 1] and back."""
+    return rounded(I.video_from_unit(I.video_to_unit(samples(spark, sf_dir)))).select("vec_id", F.col("t").cast("long").alias("t"), "v")
+
+
+@query(f"WITH {SIG}, m AS (SELECT t, avg(v) AS b FROM sig GROUP BY 1) SELECT vec_id, t::BIGINT AS t, round((v + 2) / (b + 2 + 1e-8::DOUBLE), 6) + 0.0 AS v FROM sig JOIN m USING (t)")
+def flat_field_divide(spark, sf_dir):
+    s = samples(spark, sf_dir).withColumn("v", F.col("v") + 2)
+    blur = s.groupBy("t").agg(F.avg("v").alias("blur"))
+    return rounded(I.flat_divide(s.join(F.broadcast(blur), "t"))).select("vec_id", F.col("t").cast("long").alias("t"), "v")
+
+
+@query(f"WITH {SIG} SELECT vec_id, t::BIGINT AS t FROM sig WHERE v > 0.1")
+def threshold_mask(spark, sf_dir):
+    return samples(spark, sf_dir).where(M.over(F.col("v"), 0.1)).select("vec_id", F.col("t").cast("long").alias("t"))
 
 
 # ---- inference
@@ -487,12 +600,12 @@ def argmax_decode(spark, sf_dir):
     return signals(spark, sf_dir).select("vec_id", artery.alias("artery"), vein.alias("vein"))
 
 
-@query(f"WITH {SIG} SELECT vec_id, t::BIGINT AS t, round((v - avg(v) OVER w) / (stddev_pop(v) OVER w + 1e-8::DOUBLE), 6) + 0.0 AS z, round((v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w + 1e-8::DOUBLE), 6) + 0.0 AS m, round(v / 255, 6) + 0.0 AS r FROM sig WINDOW w AS (PARTITION BY vec_id)")
+@query(f"WITH {SIG} SELECT vec_id, t::BIGINT AS t, round((v - avg(v) OVER w) / (stddev_pop(v) OVER w + 1e-8::DOUBLE), 6) + 0.0 AS z, round((v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w + 1e-8::DOUBLE), 6) + 0.0 AS m, round(v / 255, 6) + 0.0 AS r, floor((v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w + 1e-8::DOUBLE) * 255) AS n FROM sig WINDOW w AS (PARTITION BY vec_id)")
 def channel_norms(spark, sf_dir):
     x = F.col("x")
-    made = signals(spark, sf_dir).select("vec_id", *[N.channel_norm(x, kind).alias(c) for c, kind in (("z", "zscore"), ("m", "minmax"), ("r", "rescale"))])
-    rows = made.select("vec_id", F.posexplode(F.arrays_zip("z", "m", "r")).alias("t", "p"))
-    return rows.select("vec_id", F.col("t").cast("long").alias("t"), *[(F.round(F.col("p")[c], 6) + 0.0).alias(c) for c in "zmr"])
+    made = signals(spark, sf_dir).select("vec_id", *[N.channel_norm(x, kind).alias(c) for c, kind in (("z", "zscore"), ("m", "minmax"), ("r", "rescale"), ("n", "none"))])
+    rows = made.select("vec_id", F.posexplode(F.arrays_zip("z", "m", "r", "n")).alias("t", "p"))
+    return rows.select("vec_id", F.col("t").cast("long").alias("t"), *[(F.round(F.col("p")[c], 6) + 0.0).alias(c) for c in "zmrn"])
 
 
 @query("SELECT label, arg_max(vec_id, (embedding[5], -vec_id)) AS box_id, round(arg_max(embedding[1]::DOUBLE, (embedding[5], -vec_id)), 6) + 0.0 AS cx FROM embeddings GROUP BY 1")
@@ -508,6 +621,16 @@ def fingerprint(spark, sf_dir):
     return rows.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["s"]), ","), 256).alias("fingerprint"))
 
 
+@query()
+def artifact_fingerprint(spark, sf_dir):
+    """The fingerprint that steps are reused by, of the same rows in two orders."""
+    from .plans.artifacts import frame_fingerprint
+
+    nation = table(spark, sf_dir, "nation")
+    made = [(n, frame_fingerprint(df)) for n, df in (("as stored", nation), ("reversed", nation.orderBy(F.desc("n_nationkey"))))]
+    return spark.createDataFrame(made, "rows string, fingerprint string")
+
+
 @query("SELECT user_id, time_bucket(INTERVAL '6 hours', ts)::TIMESTAMP AS start, count(*) AS n, round(avg(value), 6) + 0.0 AS v FROM events GROUP BY 1, 2")
 def events_tumbling_pulse(spark, sf_dir):
     from .streaming.pulse import tumbling

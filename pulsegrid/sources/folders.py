@@ -63,15 +63,35 @@ def next_output(names: list[str]) -> str:
     return f"output_{max(found, default=-1) + 1}"
 
 
-def result_folder(path: str | Path) -> Path:
-    """Create <m>_DV/{h5,output,cache,config} and the next output folder inside; returns that."""
-    parent = resolve_path(path)
-    home = parent / f"{parent.name}_DV"
-    for d in ("h5", "output", "cache", "config"):
-        (home / d).mkdir(parents=True, exist_ok=True)
-    out = home / "output" / next_output([x.name for x in (home / "output").iterdir() if x.is_dir()])
-    out.mkdir()
-    return out
+class Results:
+    """<m>_DV beside an acquisition's data: h5 (artifacts), output, cache and config folders.
+
+    The settings file is written with the defaults where there is none.  An output folder is
+    only made when something is put in it; the run's settings are then written there.
+    """
+
+    def __init__(self, path: str | Path, settings: dict | None = None):
+        from .settings import ensure_file
+
+        parent = resolve_path(path)
+        self.home = parent / f"{parent.name}_DV"
+        for d in ("h5", "output", "cache", "config"):
+            (self.home / d).mkdir(parents=True, exist_ok=True)
+        self.settings_file = ensure_file(self.home / "config", "settings.json")
+        self.settings, self.made = settings, None
+
+    @property
+    def artifacts(self) -> Path:
+        return self.home / "h5"
+
+    def output(self) -> Path:
+        """This run's output folder, made at the first call."""
+        if self.made is None:
+            self.made = self.home / "output" / next_output([x.name for x in (self.home / "output").iterdir() if x.is_dir()])
+            self.made.mkdir()
+            if self.settings is not None:
+                (self.made / "settings.json").write_text(json.dumps(self.settings, default=str))
+        return self.made
 
 
 def strip_keys(value: Any) -> Any:
@@ -85,6 +105,13 @@ def load_json(path: str | Path) -> dict:
     return strip_keys(json.loads(Path(path).read_text()))
 
 
+def ordered(value: Any) -> Any:
+    """Nested objects and lists in an order of their own, for comparisons that ignore order."""
+    if isinstance(value, dict):
+        return sorted((k, ordered(v)) for k, v in value.items())
+    return sorted((ordered(v) for v in value), key=repr) if isinstance(value, list) else value
+
+
 def flatten_layout(layout: dict, at: str = "") -> dict[str, str]:
     """{artifact: "group/name"} from nested groups whose leaves are artifact names."""
     out: dict[str, str] = {}

@@ -30,8 +30,22 @@ class Frames(InputPartition):
         self.path, self.acq_id, self.moment, self.first, self.last = path, acq_id, moment, first, last
 
 
+def video_axes(shape: tuple[int, ...]) -> list[int]:
+    """Which axes of a stored moment are (T, a, b): axes of size one are dropped as long as there are more than three."""
+    axes = list(range(len(shape)))
+    while len(axes) > 3:
+        one = next((a for a in axes if shape[a] == 1), None)
+        if one is None:
+            raise ValueError(f"a moment has {len(shape)} axes: {shape}")
+        axes.remove(one)
+    return axes
+
+
 class MomentsReader(DataSourceReader):
-    """Frame ranges of the datasets moment0 to moment2; a missing dataset gives no rows."""
+    """Frame ranges of the datasets moment0 to moment2; a missing dataset gives no rows.
+
+    Only a dataset's shape is looked at to plan, and only its own frames are read by a task.
+    """
 
     def __init__(self, options):
         self.path, self.acq_id, self.step = options["path"], options.get("acq_id", ""), int(options.get("frames", 64))
@@ -40,18 +54,28 @@ class MomentsReader(DataSourceReader):
         import h5py  # optional
 
         out = []
-        with h5py.File(self.path) as f:
+        with h5py.File(self.path, "r") as f:
             for m in range(3):
                 if f"moment{m}" in f:
-                    n = oriented(f[f"moment{m}"][()]).shape[0]
+                    shape = f[f"moment{m}"].shape
+                    n = shape[video_axes(shape)[0]] if len(shape) > 2 else 1
                     out += [Frames(self.path, self.acq_id, m, a, min(n, a + self.step)) for a in range(0, n, self.step)]
         return out
 
     def read(self, part: Frames) -> Iterator[tuple]:
         import h5py
 
-        with h5py.File(part.path) as f:
-            video = oriented(f[f"moment{part.moment}"][()])[part.first : part.last]
+        with h5py.File(part.path, "r") as f:
+            data = f[f"moment{part.moment}"]
+            if len(data.shape) > 2:
+                time = video_axes(data.shape)[0]
+                wanted = tuple(slice(part.first, part.last) if a == time else slice(None) for a in range(len(data.shape)))
+            else:
+                wanted = (slice(None),) * len(data.shape)
+            video = np.asarray(data[wanted])
+            if video.ndim > 3:  # a range of one frame keeps its axis
+                video = video.reshape([video.shape[a] for a in video_axes(data.shape)])
+        video = oriented(video)
         for k, frame in enumerate(video):
             yield part.acq_id, part.moment, part.first + k, frame.shape[0], frame.shape[1], frame.astype(float).ravel().tolist()
 
