@@ -23,7 +23,7 @@ from .text import Words, chain, mix, second
 #: Words of a shingle, percent of similarity that links, minhash values, trees, levels, documents
 #: of a small node, estimated similarity from which two documents are candidates, and documents
 #: and shingle bytes compared in one task.
-SHINGLE, PERCENT, VALUES, TREES, LEVELS, NODE, LOOSE_AT, GROUP_DOCS, GROUP_BYTES = 5, 75, 96, 14, 4, 64, 0.5, 512, 24 << 20
+SHINGLE, PERCENT, VALUES, TREES, LEVELS, NODE, LOOSE_AT, GROUP_DOCS, GROUP_BYTES = 5, 75, 96, 11, 3, 64, 0.5, 512, 24 << 20
 _MULTIPLY = np.random.default_rng(91).integers(1, 2**63, 512, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -257,7 +257,9 @@ def _vertices(table: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     info = store.written(store.per_block(table, describe, "id long, n long, d1 long, d2 long, sig binary, block long, place int"), "signatures")
     key = ["n", "d1", "d2"]
     full = info.where("n > 0 and id is not null")
-    classes = full.groupBy(*key).agg(F.min(F.struct("id", "block", "place")).alias("r")).select(*key, F.col("r.id").alias("first"), F.xxhash64("r.block", "r.place").alias("rep"), F.col("r.block").alias("block"), F.col("r.place").alias("place"))
+    # a block is a partition and a number in it, so block and place fit one number (see store.blocks)
+    number = F.shiftleft(F.shiftright("r.block", 32), 40) + F.shiftleft(F.col("r.block").bitwiseAND(0xFFFFFFFF), 18) + F.col("r.place")
+    classes = full.groupBy(*key).agg(F.min(F.struct("id", "block", "place")).alias("r")).select(*key, F.col("r.id").alias("first"), number.alias("rep"), F.col("r.block").alias("block"), F.col("r.place").alias("place"))
     # a class is known by its place: texts that share an id are several classes, one vertex only at the end
     reps = store.written(classes.join(info.select("block", "place", "sig"), ["block", "place"]), "representatives")
 
