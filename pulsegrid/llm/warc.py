@@ -93,19 +93,28 @@ def read_archive(stream) -> Iterator[bytes]:
         yield b"".join(out)
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = LEAST_REVISIT, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = LEAST_REVISIT, archive_bytes: int = ARCHIVE_BYTES, block_bytes: int = store.BLOCK_BYTES) -> DataFrame:
     """Write a record for every row; returns the written manifest (file, records, bytes).
 
     Of rows with equal payloads of at least ``least`` bytes, those with the smallest id are
-    responses and the others revisit it.  Archives are written under an attempt's own name and
-    then moved to their final one.
+    responses and the others revisit it.  Payloads are packed once in blocks and never
+    shuffled: only digests are, and a block finds what its rows revisit in a file of its own.
+    Archives are written under an attempt's own name and then moved to their final one.
     """
-    spark = pages.sparkSession
-    payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), (F.col(url_col) if url_col in pages.columns else F.lit("")).cast("string").alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    # only digests and counts are shuffled by payload; the digests that repeat then join the rows
-    repeated = rows.where((F.octet_length("payload") >= least) & F.col("id").isNotNull()).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    marked = rows.join(repeated, "digest", "left").withColumn("refers_to", F.when(F.col("id") != F.col("first"), F.col("first")))
+    url = F.col(url_col) if url_col in pages.columns else F.lit(None)
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), url.cast("string").alias("url"), F.col(payload_col).cast("string").alias("payload"))
+    table = store.blocks(rows, "id", "payload", block_bytes, "pages", whole_rows=True)
+
+    def describe(block):
+        raw = block.raw.tobytes()
+        for i, (a, b) in enumerate(zip(block.at[:-1].tolist(), block.at[1:].tolist(), strict=True)):
+            if b - a >= least and not block.null[i]:
+                yield hashlib.sha256(raw[a:b]).digest(), int(block.ids[i]), int(block.block), i
+
+    narrow = store.written(store.per_block(table, describe, "digest binary, id long, block long, place int"), "digests")
+    # map-side sums first, so a popular payload is a few rows of its digest
+    repeated = narrow.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    answers = store.deliver(narrow.join(repeated, "digest").where("id != first").select("block", "place", "first"), "revisits")
 
     def run(batches):
         from pyspark import TaskContext
@@ -122,24 +131,28 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
             # by itself the file system would compress a name like this once more
             with fs.open_output_stream(f"{base}/.{at.taskAttemptId()}-{name}", compression=None) as f:
                 f.write(data)
-            fs.move(f"{base}/.{at.taskAttemptId()}-{name}", f"{base}/{name}")
+            store.settle(fs, f"{base}/.{at.taskAttemptId()}-{name}", f"{base}/{name}")
             row = (name, len(held), len(data))
             held, size, number = [], 0, number + 1
             return store.to_batch([row], "file string, records long, bytes long")
 
-        some = False
         for r in store.rows(batches):
-            held.append(record(r["id"], r["url"], r["payload"], r["digest"], r["refers_to"]))
-            size += len(held[-1])
-            if size >= archive_bytes:
-                some = True
-                yield out()
+            block = store.Block(r)
+            found = store.delivered(answers, block.block)
+            revisits = {} if found is None else dict(zip(found["place"].to_pylist(), found["first"].to_pylist(), strict=True))
+            raw, urls = block.raw.tobytes(), block.column(1)
+            for i, (a, b) in enumerate(zip(block.at[:-1].tolist(), block.at[1:].tolist(), strict=True)):
+                payload = raw[a:b]
+                held.append(record(None if block.null[i] else int(block.ids[i]), urls[i], payload, hashlib.sha256(payload).hexdigest(), revisits.get(i)))
+                size += len(held[-1])
+                if size >= archive_bytes:
+                    yield out()
         if held:
             yield out()
-        elif not some:
-            yield store.to_batch([], "file string, records long, bytes long")
+        store.lean()
+        yield store.to_batch([], "file string, records long, bytes long")
 
-    return store.written(marked.select("id", "url", "payload", "digest", "refers_to").mapInArrow(run, "file string, records long, bytes long"), "archives")
+    return store.written(table.mapInArrow(run, "file string, records long, bytes long"), "archives")
 
 
 def read_archives(spark: SparkSession, manifest: DataFrame, path: str, with_payload: bool = False) -> DataFrame:
@@ -178,7 +191,8 @@ def round_trip(pages: DataFrame) -> DataFrame:
 
     Null payloads are empty.  Rows with a null id are responses and nothing refers to them;
     rows that share the smallest id of a payload are all responses.  Extra columns are ignored;
-    an empty table gives an empty result.
+    an empty table gives an empty result.  A payload of any length is one part of one block and
+    one record, so the longest must fit a task's memory.
     """
     path = store.fresh(pages.sparkSession, "warc")
     return read_archives(pages.sparkSession, write_archives(pages, path), path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
