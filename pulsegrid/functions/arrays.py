@@ -6,6 +6,7 @@ is bound once by ``let``, as a lambda's argument.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -350,16 +351,23 @@ def artery_vote(x: Column, period: Column) -> Column:
     return let(gradient(x), vote)
 
 
-def spectrum(x: Column, cosines, sines, power: bool = False) -> Column:
-    """One-sided spectrum |FFT / T| (squared, with power), all but the first and last bins doubled."""
-    n = len(cosines)
-    def bins(re, im):
-        return F.transform(F.zip_with(re, im, lambda a, b: F.struct(a.alias("re"), b.alias("im"))), lambda p, k: _fold(p, k, n, F.size(x), power))
+def spectrum(x: Column, length: int, bins: list[int] | None = None, power: bool = False) -> Column:
+    """One-sided spectrum |FFT / T| (squared, with power) at the given bins (all, 0 to T // 2), all but the first and last doubled.
 
-    return let(linear(x, cosines), lambda re: let(linear(x, sines), lambda im: bins(re, im)))
+    The only constants are one turn of cosines and sines, as long as the signal; a bin costs one pass.
+    """
+    turn = [2 * math.pi * j / length for j in range(length)]
+    bins = list(range(length // 2 + 1)) if bins is None else bins
+    table = F.struct(F.from_json(F.lit(str([math.cos(a) for a in turn])), "array<double>").alias("c"), F.from_json(F.lit(str([math.sin(a) for a in turn])), "array<double>").alias("s"))
+
+    def at(p, k):
+        both = F.struct(*[total(F.transform(x, lambda v, t: v * F.get(p[c], (k * t) % length))).alias(c) for c in "cs"])
+
+        def value(z):
+            v = (z["c"] * z["c"] + z["s"] * z["s"]) / float(length * length)
+            v = v if power else F.sqrt(v)
+            return F.when((k == 0) | (k == length // 2), v).otherwise(2 * v)
 
+        return let(both, value)
 
-def _fold(p, k, n, size, power):
-    value = (p["re"] * p["re"] + p["im"] * p["im"]) / (size * size)
-    value = value if power else F.sqrt(value)
-    return F.when((k == 0) | (k == n - 1), value).otherwise(2 * value)
+    return let(table, lambda p: F.transform(F.array(*[F.lit(k) for k in bins]), lambda k: at(p, k)))

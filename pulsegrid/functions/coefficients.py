@@ -87,9 +87,3 @@ def gaussian(length: int, sigma: float, truncate: float = 2.0) -> np.ndarray:
             m = (t + j) % (2 * length)
             out[t, m if m < length else 2 * length - 1 - m] += w
     return out
-
-
-def fourier(length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Cosines and sines of the bins 0 to length // 2."""
-    angle = 2 * np.pi * np.outer(np.arange(length // 2 + 1), np.arange(length)) / length
-    return np.cos(angle), np.sin(angle)

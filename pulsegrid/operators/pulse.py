@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
-from ..functions import coefficients as C
 from . import images as I
 
 #: The band of heart rates in Hz, the half-width about the strongest frequency, the
@@ -29,10 +28,7 @@ def period(x: Column, length: int, rate: float) -> Column:
     bins = _band(length, rate, closed=False)
     if not bins:
         raise ValueError("no frequency of this signal lies between 0.5 and 2 Hz")
-    cosines, sines = C.fourier(length)
-    strength = A.spectrum(x, cosines, sines)
-    some = F.slice(strength, F.lit(bins[0] + 1), F.lit(len(bins)))
-    best = A.let(some, lambda s: F.array_position(s, F.array_max(s)) - 1 + bins[0])
+    best = A.let(A.spectrum(x, length, bins), lambda s: F.array_position(s, F.array_max(s)) - 1 + bins[0])
     return F.rint(F.lit(float(rate)) / (F.lit(float(rate)) * best / length)).cast("int")
 
 
@@ -45,7 +41,6 @@ def is_periodic(x: Column, length: int, rate: float) -> Column:
     bins = _band(length, rate, closed=True)
     if length < 4 or not bins:
         return F.lit(False)
-    cosines, sines = C.fourier(length)
     freq = [rate * k / length for k in bins]
 
     def purity(p):
@@ -62,7 +57,7 @@ def is_periodic(x: Column, length: int, rate: float) -> Column:
         return A.let(total, lambda t: F.when(t > 0, A.let(F.transform(p, lambda v: v / t), score)).otherwise(F.lit(False)))
 
     centred = A.let(A.mean(x), lambda m: F.transform(x, lambda v: v - m))
-    return A.let(F.slice(A.let(centred, lambda c: A.spectrum(c, cosines, sines, power=True)), F.lit(bins[0] + 1), F.lit(len(bins))), purity)
+    return A.let(A.let(centred, lambda c: A.spectrum(c, length, bins, power=True)), purity)
 
 
 def systole(x: Column, rate: float, height: float = 95, gap: int = 10) -> Column:

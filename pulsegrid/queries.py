@@ -278,8 +278,7 @@ p AS (SELECT vec_id, k, (c * c + s * s) / 4096 * CASE WHEN k IN (0, 32) THEN 1 E
 
 @query(f"{SPECTRUM} SELECT vec_id, k::BIGINT AS t, round(p, 6) + 0.0 AS v FROM p")
 def dft_power(spark, sf_dir):
-    cosines, sines = C.fourier(T)
-    return rounded(long(signals(spark, sf_dir), A.spectrum(F.col("x"), cosines, sines, power=True), "vec_id"))
+    return rounded(long(signals(spark, sf_dir), A.spectrum(F.col("x"), T, power=True), "vec_id"))
 
 
 @query(f"""WITH {SIG}, b AS (SELECT label, t, avg(v) AS v FROM sig GROUP BY 1, 2), k AS (SELECT unnest(range(1, 32)) AS k),
