@@ -29,6 +29,7 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--download", action="store_true")
     parser.add_argument("--layout", help="JSON of the artifacts' groups")
     parser.add_argument("--rendered", help="JSON of what is rendered, and how")
+    parser.add_argument("--h5", help="folder for the artifacts as HDF5 files too (needs h5py)")
     parser.add_argument("--logs", help="folder of last_run.log")
     args = parser.parse_args(argv)
     settings.start_logging(args.logs, logging.DEBUG if args.verbose else logging.INFO)
@@ -46,7 +47,10 @@ def main(argv: list[str] | None = None) -> int:
         for r in failed:
             print(f"{r['path']}: {r['error']}", file=sys.stderr)
         return 1 if failed else 0
-    Run(spark, args.input, args.out, **options)(args.targets, lambda *e: logger.info("%s", " ".join(map(str, e))))
+    run = Run(spark, args.input, args.out, **options)
+    run(args.targets, lambda *e: logger.info("%s", " ".join(map(str, e))))
+    if args.h5:
+        run.export_h5(args.h5)
     return 0
 
 

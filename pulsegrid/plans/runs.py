@@ -54,6 +54,7 @@ class Run:
         self.ids = [r[0] for r in store.get("frames").select("acq_id").distinct().orderBy("acq_id").collect()]
         self.config |= {"shape": store.get("size"), "acquisitions": self.ids}
         self.engine = Engine(graph(), store, self.config, debug)
+        self.layout = store.layout
         if results is not None:
             results.settings = self.config
             wanted = settings.load_or_default(rendered, "rendered.json")
@@ -63,6 +64,15 @@ class Run:
     def __call__(self, targets=None, callback=None) -> dict:
         return self.engine.run(targets, callback)
 
+    def export_h5(self, folder: str) -> list[str]:
+        """The artifacts of each acquisition as <folder>/<acquisition>.h5; returns the files."""
+        from ..sources.sinks import export_h5
+
+        files = [str(Path(folder) / f"{a}.h5") for a in self.ids]
+        for a, file in zip(self.ids, files, strict=True):
+            export_h5(self.engine.store.all(), self.layout, file, tuple(self.config["shape"]), a)
+        return files
+
 
 def run_batch(spark: SparkSession, paths: list[str], targets=None, out: str | None = None, **options) -> DataFrame:
     """Run every input; what fails is logged and the others go on.  Returns (path, error, ok), a row for each input."""

@@ -1,6 +1,7 @@
 """Array functions against NumPy."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import arrays as A
@@ -95,3 +96,42 @@ def test_filters():
 def test_binomial_is_the_waveform_filter(spark):
     x = np.random.default_rng(6).normal(size=30)
     assert np.allclose(apply(spark, x, A.binomial), C.zero_phase(*C.butterworth(1, 0.5), x))
+
+
+@pytest.mark.parametrize("n", [16, 17, 40])
+def test_the_low_pass_is_the_matrix(spark, n):
+    x = np.random.default_rng(n).normal(size=n)
+    assert np.allclose(apply(spark, x, lambda c: A.lowpass(c, 40.0)), C.lowpass(n, 40.0) @ x)
+
+
+def test_signals_too_short_for_a_filter_are_null(spark):
+    assert apply(spark, [1.0] * 15, lambda c: A.lowpass(c, 40.0)) is None
+    assert apply(spark, [1.0] * 8, lambda c: A.savitzky_golay(c, 9, 3)) is None
+    with pytest.raises(ValueError):
+        A.lowpass(F.col("x"), 30.0)
+
+
+@pytest.mark.parametrize("n", [9, 10])
+def test_spectrum_is_the_transform(spark, n):
+    x = np.random.default_rng(n).normal(size=n)
+    want = np.abs(np.fft.fft(x) / n)[: n // 2 + 1]
+    want[1:-1] *= 2
+    assert np.allclose(apply(spark, x, lambda c: A.spectrum(c, n)), want)
+    assert np.allclose(apply(spark, x, lambda c: A.spectrum(c, n, [1, 2], power=True)), 2 * np.abs(np.fft.fft(x) / n)[1:3] ** 2)
+
+
+def test_plateaus_and_ends(spark):
+    x = [3.0, 1.0, 2.0, 2.0, 2.0, 2.0, 1.0, 4.0, 4.0, 5.0, 0.0, 1.0, 1.0]
+    assert apply(spark, x, A.local_maxima) == [3, 9]
+    assert apply(spark, [1.0, 1.0], A.local_maxima) == [] and apply(spark, [], A.local_maxima) == []
+
+
+def test_beat_marks(spark):
+    from pulsegrid.operators import pulse
+
+    x = np.tile([0, 0, 0, 5, 9, 8, 6, 4, 3, 2, 1, 1, 0.5, 0.2, 0.1, 0], 4).astype(float)
+    m = apply(spark, x, lambda c: pulse.beat_marks(c, 16.0))
+    assert m["systole"] == [3, 19, 35, 51] and m["maximum"] == [4, 20, 36, 52] and m["minimum"] == [0, 15, 31, 47]
+    none = apply(spark, [1.0] * 64, lambda c: pulse.beat_marks(c, 16.0))
+    assert none["systole"] == none["maximum"] == none["minimum"] == []
+    assert pulse.effective_rate(300.0, 4.0) == 75.0

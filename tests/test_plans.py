@@ -422,7 +422,7 @@ class Vessels:
         return np.stack([~(artery | vein), artery, vein]).astype(float)[None]
 
 
-def test_all_nine_steps(spark, tmp_path):
+def test_all_nine_steps(spark, tmp_path, monkeypatch):
     """From an acquisition folder's contents to the beats, with pictures, then reused by another run."""
     from pulsegrid.plans.runs import Run, run_batch
 
@@ -442,14 +442,24 @@ def test_all_nine_steps(spark, tmp_path):
     assert len(beats) >= 2 and made["retinal_artery_velocity_signal_filtered_perbeat"].count() == len(beats)
     assert made["velocity_map_avg"].count() == size * size
     told = []
-    make()(callback=lambda *e: told.append(e))
+    again = make()  # its last step runs again and replaces what the first run made
+    made = again(callback=lambda *e: told.append(e))
     assert [e[1] for e in told if e[0] == "step_skipped"] == run.engine.graph.order[:-1]
     from pulsegrid.sources.render import Renderer
 
     (tmp_path / "p").mkdir()
-    r = Renderer(lambda: tmp_path / "p", {"M0_ff_image": "image", "retinal_artery_mask": "mask", "pre_arterial_pulse": "signal", "optic_disc": "optic_disc", "labeled_vessels": "labeled_mask"}, (n, size, size), ["a"], run.engine.store.all)
+    r = Renderer(lambda: tmp_path / "p", {"M0_ff_image": "image", "retinal_artery_mask": "mask", "pre_arterial_pulse": "signal", "optic_disc": "optic_disc", "labeled_vessels": "labeled_mask"}, (n, size, size), ["a"], again.engine.store.all)
     r.step("all", made)
     assert len(r.made) == 5 and all(p.stat().st_size > 60 for p in r.made)
+    import h5py_stub
+
+    monkeypatch.setitem(sys.modules, "h5py", h5py_stub)
+    h5py_stub.FILES.clear()
+    again.export_h5("folder")
+    data = h5py_stub.FILES["folder/a.h5"]
+    assert data["analysis/retinal_velocity_array"].shape == (n, size, size) and data["segmentation/Retina/artery_mask"].sum() == 3 * size
+    assert data["analysis/beat_indices"].tolist() == beats and data["segmentation/OpticDisc/disc_center"].tolist() == [9.0, 10.0]
+    assert data["analysis/velocitysignal_per_beat"].shape == (len(beats), 128) and data["analysis/retinal_artery_velocity_signal"].shape == (n,)
     bad = run_batch(spark, [str(tmp_path / "none"), str(tmp_path / "frames")], ["read_moments"], str(tmp_path / "batch"))
     assert [(row["ok"], bool(row["error"])) for row in bad.collect()] == [(False, True), (True, False)]
 
