@@ -241,22 +241,15 @@ def test_settings(tmp_path, monkeypatch):
     assert settings.user_folder().is_dir()
 
 
-def test_log_file(tmp_path):
+def test_log_file(tmp_path, handlers):
     import logging
 
     from pulsegrid.sources import settings
 
-    root = logging.getLogger()
-    before, level = list(root.handlers), root.level
     for text in ("one", "two"):
         path = settings.start_logging(tmp_path)
         logging.getLogger("x").info(text)
     assert "two" in path.read_text() and "one" not in path.read_text()
-    for h in list(root.handlers):
-        root.removeHandler(h)
-    for h in before:
-        root.addHandler(h)
-    root.setLevel(level)
 
 
 class FakeFile(dict):
@@ -464,16 +457,31 @@ def test_all_nine_steps(spark, tmp_path, monkeypatch):
     assert [(row["ok"], bool(row["error"])) for row in bad.collect()] == [(False, True), (True, False)]
 
 
-def test_command_line_says_what_is_missing(tmp_path, capsys):
-    from pulsegrid import cli
-
+@pytest.fixture
+def handlers():
+    """The root logger as it was."""
     import logging
 
     root = logging.getLogger()
     before, level = list(root.handlers), root.level
-    assert cli.main([str(tmp_path / "none"), "--logs", str(tmp_path)]) == 1 and "there is no" in capsys.readouterr().err
+    yield
     for h in list(root.handlers):
         root.removeHandler(h)
     for h in before:
         root.addHandler(h)
     root.setLevel(level)
+
+
+def test_command_line(spark, tmp_path, capsys, handlers):
+    from pulsegrid import cli
+
+    logs = ["--logs", str(tmp_path)]
+    assert cli.main([str(tmp_path / "none"), *logs]) == 1 and "there is no" in capsys.readouterr().err
+    frames = str(tmp_path / "frames")
+    moments.from_arrays(spark, "a", {m: np.arange(48.0).reshape(3, 4, 4) for m in range(3)}).write.parquet(frames)
+    assert cli.main([frames, "-o", str(tmp_path / "out"), "-t", "read_moments", *logs]) == 0
+    found = Artifacts(spark, str(tmp_path / "out"))
+    assert found.get("moment1").count() == 48 and found.get("size") == [3, 4, 4] and "step_done read_moments" in (tmp_path / "last_run.log").read_text()
+    (tmp_path / "list.txt").write_text(f"{frames}\n{tmp_path}/none\n")
+    assert cli.main([str(tmp_path / "list.txt"), "-b", "-o", str(tmp_path / "many"), "-t", "read_moments", *logs]) == 1
+    assert "none:" in capsys.readouterr().err and Artifacts(spark, str(tmp_path / "many" / "frames")).has("moment2")
