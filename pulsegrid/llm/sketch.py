@@ -15,10 +15,10 @@ import struct
 import numpy as np
 
 from . import store
-from .text import pack_sorted, second, splits, unpack_sorted
+from .text import in_order, pack_sorted, second, splits, unpack_sorted
 
 #: log2 of a row's counters for each bucket (about four for each window of its text), and rows.
-CELL_BITS, DEPTH = 23, 2
+CELL_BITS, DEPTH = 24, 2
 
 
 class Routed:
@@ -27,7 +27,7 @@ class Routed:
     def __init__(self, keys: np.ndarray, row: int, buckets: int):
         # the keys are ascending hashes already; another row's hashes are put in order
         h = second(keys, 1000 + row) if row else keys
-        self.order = np.argsort(h) if row else np.arange(len(h))
+        self.order = in_order(h) if row else np.arange(len(h))
         h = h[self.order]
         self.buckets, self.cut = store.cuts(h, buckets)
         self.cell = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32 - CELL_BITS)
@@ -54,7 +54,7 @@ def merge(members: list[tuple]):
         more.append(np.unpackbits(np.frombuffer(data, np.uint8, -(-n // 8), 4), count=n).astype(bool))
         cells.append(unpack_sorted(data[4 + -(-n // 8) :]))
     every = np.concatenate(cells)
-    order = np.argsort(every)
+    order = in_order(every)
     at = splits(every[order])
     count = np.add.reduceat(1 + np.concatenate(more)[order].astype(np.int64), at)
     reached = np.empty(len(every), bool)

@@ -26,11 +26,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text in a block, and of text for which one bucket is opened; most shuffle partitions.
-BLOCK_BYTES, BUCKET_BYTES, MOST_PARTS = 8 << 20, 12 << 20, 20_000
+BLOCK_BYTES, BUCKET_BYTES, MOST_PARTS = 8 << 20, 24 << 20, 20_000
 #: Documents at which a block ends; it has fewer than twice as many.
 BLOCK_ROWS = 1 << 17
-#: Whether Spark removes an execution's shuffle files at its end.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while a table is written: shuffle files are removed when an execution ends, and a batch of
+#: rows for Python is not much larger than this.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 _BLOCK = "block long, n long, bytes long, ids binary, lengths binary, data binary"
 
 
@@ -56,13 +57,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
     Once they are written, nothing needs the shuffle files behind them, so Spark removes those.
     """
-    spark = df.sparkSession
-    path, before = fresh(spark, name), spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    spark, path = df.sparkSession, fresh(df.sparkSession, name)
+    before = {k: spark.conf.get(k, None) for k in _WRITING}
+    for k, v in _WRITING.items():
+        spark.conf.set(k, v)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._pulsegrid_path = path
     return out
@@ -81,7 +84,7 @@ def remove(spark: SparkSession, path: str | None) -> None:
 
 
 def lean() -> None:
-    """Make this Python worker give memory back to the system when it frees it.
+    """Make this Python worker give memory back to the system, at the end of a task.
 
     Workers are kept between stages; what their allocators held would add up in an executor.
     """
@@ -91,8 +94,10 @@ def lean() -> None:
     pa.default_memory_pool().release_unused()
     try:
         c = ctypes.CDLL(ctypes.util.find_library("c") or "libc.so.6")
-        c.mallopt(-3, 1 << 20)  # fixed value: M_MMAP_THRESHOLD; larger pieces are mapped one by one
-        c.malloc_trim(0)
+        # fixed values: M_MMAP_THRESHOLD and M_TRIM_THRESHOLD; what a block frees, the next one finds again
+        c.mallopt(-3, 32 << 20)
+        c.mallopt(-1, 1 << 29)
+        c.malloc_trim(0)  # at a task's end all of it goes
     except (OSError, AttributeError):  # another C library
         pass
 
@@ -224,14 +229,14 @@ def cuts(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return bucket[at].astype(np.int64), np.r_[at, len(keys)].astype(np.int64)
 
 
-def per_block(table: DataFrame, emit: Callable[[Block], Iterator[tuple]], schema: str) -> DataFrame:
-    """emit(block) yields rows of the schema for each block."""
+def per_block(table: DataFrame, emit: Callable[[Block], Iterator[tuple]], schema: str, of: Callable = Block) -> DataFrame:
+    """emit(of(row)) yields rows of the schema for each row of a table of blocks."""
 
     def run(batches):
         for row in rows(batches):
-            for out in chunks(emit(Block(row)), 512):
+            for out in chunks(emit(of(row)), 512):
                 yield to_batch(out, schema)
-            lean()
+        lean()
         yield to_batch([], schema)
 
     return table.mapInArrow(run, schema)
@@ -316,10 +321,10 @@ def settle(fs, own: str, final: str) -> None:
         fs.delete_file(own)
 
 
-def ask(table: DataFrame, emit, reduce, text_bytes: int, name: str) -> tuple[str, tuple[int, int]]:
+def ask(table: DataFrame, emit, reduce, text_bytes: int, name: str, of: Callable = Block) -> tuple[str, tuple[int, int]]:
     """Send packed keys from blocks to buckets and keep the answers, in a shared file for each block.
 
-    emit(block) yields (bucket, payload); reduce(bucket, [(block, payload)]) yields
+    emit(of(row)) yields (bucket, payload); reduce(bucket, [(block, payload)]) yields
     (block, reply).  Later passes over the blocks read only their own file (answers_of), so
     texts aren't shuffled.
     A file is written under an attempt's own name and then moved, so any attempt may win.
@@ -329,7 +334,7 @@ def ask(table: DataFrame, emit, reduce, text_bytes: int, name: str) -> tuple[str
 
     spark = table.sparkSession
     parts, path = shuffled(spark, text_bytes), fresh(spark, name)
-    sent = per_block(table, lambda b: ((int(k), int(b.block), p) for k, p in emit(b)), "bucket int, block long, payload binary")
+    sent = per_block(table, lambda b: ((int(k), int(b.block), p) for k, p in emit(b)), "bucket int, block long, payload binary", of)
 
     def run(batches):
         for key, members in grouped(batches):

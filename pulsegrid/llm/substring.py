@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch, store
-from .text import Words, pack_sorted, small, splits, unpack_sorted
+from .text import Words, in_order, pack_sorted, small, splits, unpack_sorted
 
 #: Words of a window.
 WINDOW = 13
@@ -30,7 +30,7 @@ class Windows:
     def __init__(self, block: store.Block, words: Words, k: int):
         self.first, self.hash = words.windows(k)
         self.text = np.searchsorted(words.offsets, self.first, "right") - 1
-        order = np.argsort(self.hash)
+        order = in_order(self.hash)
         self.at = splits(self.hash[order])
         self.key = self.hash[order][self.at]
         # windows of rows without an id remove nothing and are no reason to remove
@@ -57,7 +57,7 @@ def _smallest(members: list[tuple]):
         more.append(np.unpackbits(np.frombuffer(data, np.uint8, -(-n // 8), at), count=n).astype(bool))
         keys.append(unpack_sorted(data[at + -(-n // 8) :]))
     key, low = np.concatenate(keys), np.concatenate(lows)
-    order = np.argsort(key)
+    order = in_order(key)
     at = splits(key[order])
     least = np.minimum.reduceat(low[order], at)
     smallest = np.empty(len(key), np.int64)
@@ -165,7 +165,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             some = True
             yield from apply(block, store.answers_of(path, block.block))
             del block
-            store.lean()
+        store.lean()
         if not some and not whole_rows:
             yield store.to_batch([], schema)
 

@@ -132,6 +132,37 @@ def splits(sorted_keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, sorted_keys[1:] != sorted_keys[:-1]])
 
 
+def in_order(x: np.ndarray) -> np.ndarray:
+    """Places of uint64 numbers in ascending order, equal ones in the order of their places.
+
+    The numbers' high bits are sorted with their places in the low bits, which is several times
+    faster than sorting places; where that leaves different numbers unordered, places are sorted.
+    """
+    bits = np.uint64(max(1, (len(x) - 1).bit_length()))
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    place = np.arange(len(x), dtype=np.uint64)
+    if not len(x) or x.max() >> (np.uint64(64) - bits) == 0:  # all of a number fits
+        both = np.sort(x << bits | place)
+        return (both & low).astype(np.int64)
+    both = np.sort(x & ~low | place)
+    order = (both & low).astype(np.int64)
+    full = x[order]
+    if ((both[1:] ^ both[:-1] <= low) & (full[1:] != full[:-1])).any():
+        return np.argsort(x, kind="stable")
+    return order
+
+
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct uint64 numbers, ascending, and for each place the number of its own among them."""
+    order = in_order(x)
+    ranked = x[order]
+    first = np.ones(len(x), bool)
+    first[1:] = ranked[1:] != ranked[:-1]
+    of = np.empty(len(x), np.int32)
+    of[order] = np.cumsum(first, dtype=np.int32) - 1
+    return ranked[first], of
+
+
 def pack_sorted(x: np.ndarray) -> bytes:
     """Ascending uint64 numbers: low bits as they are, high bits as gaps in unary (Elias and Fano).
 
@@ -143,11 +174,13 @@ def pack_sorted(x: np.ndarray) -> bytes:
     base, n = int(x[0]), len(x)
     rest = x - x[0]
     low = max(0, (int(rest[-1]) // n).bit_length() - 1)
+    whole, more = divmod(low, 8)
     high = (rest >> np.uint64(low)).astype(np.int64)
     unary = np.zeros(n + int(high[-1]), bool)
     unary[high + np.arange(n)] = True
-    planes = [np.packbits((rest >> np.uint64(j)).astype(np.uint8) & 1) for j in range(low)]
-    return struct.pack("<QIB", base, n, low) + b"".join(p.tobytes() for p in planes) + np.packbits(unary).tobytes()
+    each = rest.astype("<u8").view(np.uint8).reshape(n, 8)
+    planes = [np.packbits(each[:, whole] >> j & 1) for j in range(more)]
+    return struct.pack("<QIB", base, n, low) + each[:, :whole].tobytes() + b"".join(p.tobytes() for p in planes) + np.packbits(unary).tobytes()
 
 
 def unpack_sorted(data: bytes) -> np.ndarray:
@@ -155,13 +188,15 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     if not data:
         return np.zeros(0, np.uint64)
     base, n, low = struct.unpack_from("<QIB", data)
-    at, width = 13, -(-n // 8)
-    out = np.zeros(n, np.uint64)
-    for j in range(low):
-        out |= np.unpackbits(np.frombuffer(data, np.uint8, width, at), count=n).astype(np.uint64) << np.uint64(j)
+    (whole, more), at, width = divmod(low, 8), 13, -(-n // 8)
+    each = np.zeros((n, 8), np.uint8)
+    each[:, :whole] = np.frombuffer(data, np.uint8, n * whole, at).reshape(n, whole)
+    at += n * whole
+    for j in range(more):
+        each[:, whole] |= np.unpackbits(np.frombuffer(data, np.uint8, width, at), count=n) << j
         at += width
     high = np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, -1, at)))[:n] - np.arange(n)
-    return out + (high.astype(np.uint64) << np.uint64(low)) + np.uint64(base)
+    return each.view("<u8").reshape(n) + (high.astype(np.uint64) << np.uint64(low)) + np.uint64(base)
 
 
 def small(x: np.ndarray) -> np.ndarray:

@@ -67,3 +67,11 @@ def test_sketch_loses_no_repeated_key(items, buckets):
         really = twice | np.isin(key, want[1 - n][0])
         assert (ok | ~really).all()
         assert (ok == really).all()  # so few keys share no counter
+
+
+@given(st.lists(st.integers(0, 2**64 - 1) | st.integers(0, 9) | st.integers(2**64 - 9, 2**64 - 1), max_size=40))
+def test_order_and_distinct_numbers(values):
+    x = np.array(values, np.uint64)
+    assert (text.in_order(x) == np.argsort(x, kind="stable")).all()
+    keys, of = text.distinct(x)
+    assert (keys == np.unique(x)).all() and (keys[of] == x).all()
