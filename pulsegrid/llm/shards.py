@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import store
+from . import grams, store
 
 #: Shards; bins of a round; part of a leaf's weight up to which equal texts are kept together.
 SHARDS, BINS, TOGETHER = 24, 4096, 0.002
@@ -38,16 +38,15 @@ def _cuts(table: DataFrame, nodes: dict, together: float, bins: int) -> dict:
         for n, s in live.items():
             c = F.col(s["order"][s["k"]])
             lo, hi = s["range"]
-            width = max(1, -(-(hi - lo + 1) // bins))
-            s["width"] = width
-            here = (F.col("node") == n) & (c >= F.lit(lo)) & (c <= F.lit(hi))
+            s["width"] = max(1, -(-(hi - lo + 1) // bins))
+            here = (c >= F.lit(lo)) & (c <= F.lit(hi))
             for name, v in s["fixed"]:
                 here &= F.col(name) == F.lit(v)
-            bucket = F.when(here, F.floor((c - F.lit(lo)) / F.lit(width)).cast("int")).otherwise(bucket)
-        sums = table.select("node", "weight", bucket.alias("bin")).where("bin is not null").groupBy("node", "bin").agg(F.sum("weight").alias("w")).collect()
+            bucket = F.when(F.col("node") == n, F.when(here, F.floor((c - F.lit(lo)) / F.lit(s["width"])).cast("int"))).otherwise(bucket)
+        sums = table.select("node", "weight", bucket.alias("bin")).where("bin is not null").groupBy("node", "bin").agg(F.sum("weight").alias("w")).toArrow()
         per: dict = {}
-        for r in sums:
-            per.setdefault(r["node"], []).append((r["bin"], float(r["w"])))
+        for node, b, w in zip(*(sums[c].to_pylist() for c in ("node", "bin", "w")), strict=True):
+            per.setdefault(node, []).append((b, float(w)))
         for n, s in live.items():
             lo, hi = s["range"]
             acc = s["below"]
@@ -119,8 +118,8 @@ def kd_shards(items: DataFrame, dims: list[str], leaves: int, ties: list[str], t
                     following[name] = size
                 else:
                     final[name] = len(final)
-        table = table.withColumn("node", child)
-        table = store.written(table, "nodes")
+        # nothing is written: each pass works the few cuts above out again, over narrow rows
+        table = grams.once(table, *[c for c in table.columns if c != "node"], child.cast("int").alias("node"))
         open_nodes = following
     shard = F.lit(0)
     for name, number in final.items():
