@@ -24,10 +24,12 @@ from . import grams, store
 #: Buckets of the classifier, most labelled rows it is fitted on (smallest hashes), smoothing,
 #: the shrinkage of its weights, the texts that a bucket's prior counts for, steps, tokens
 #: wanted over tokens there, and the relative residual at which the steps end.
-BUCKETS, LABELLED, SMOOTHING, SHRINK, PRIOR, STEPS, EPOCHS, CLOSE = 65_536, 20_000, 0.5, 0.5, 14.0, 30, 1.2, 1e-3
+BUCKETS, LABELLED, SMOOTHING, SHRINK, PRIOR, STEPS, EPOCHS, CLOSE = 65_536, 20_000, 0.5, 0.5, 14.0, 200, 1.2, 1e-3
 #: A domain's residual counts as at least this share of all tokens; steps after which states are
 #: written; labelled texts that must have a bucket for it to count.
 LEAST_SHARE, WRITE_EVERY, LEAST_SEEN = 0.01, 6, 5
+#: Steps without a hundredth's gain after which the fit ends.
+STALLED = 10
 #: A goal counts as missed by more than this share of all tokens wanted.
 MISSED = 0.01
 logger = logging.getLogger(__name__)
@@ -115,29 +117,35 @@ def fit_rates(members: DataFrame, targets: dict, steps: int = STEPS, epochs: flo
     wanted = [targets[d] for d in names]
     goal = [epochs * sum(now) * w / (sum(wanted) or 1.0) for w in wanted]
     scale = [max(a, b, LEAST_SHARE * sum(now), 1.0) for a, b in zip(now, goal, strict=True)]
-    history, momentum, at, t = [], [], now, 1.0
+    history, momentum, at, t, losses = [], [], now, 1.0, []
     table, start, done = members, None, 0
     for _ in range(steps):
         g = [(a - b) / n for a, b, n in zip(at, goal, scale, strict=True)]
-        if max(abs(x) for x in g) < CLOSE:
+        losses.append(sum(x * x * n for x, n in zip(g, scale, strict=True)))
+        # near the goals, or as near as documents of these domains come
+        if max(abs(x) for x in g) < CLOSE or (len(losses) > STALLED and losses[-1] > 0.99 * losses[-1 - STALLED]):
             break
         following = (1 + (1 + 4 * t * t) ** 0.5) / 2
         history.append(g)
         momentum.append((t - 1) / following)
         t = following
         if len(history) - done == WRITE_EVERY:
-            table = store.written(table.select("tokens", "p", state(F.col("p"), history[done:], momentum[done:], start).alias("s")), "states")
+            before, table = table, store.written(table.select("tokens", "p", state(F.col("p"), history[done:], momentum[done:], start).alias("s")), "states")
+            store.drop(before)
             start, done = F.col("s"), len(history)
         at = sums(table, state(F.col("p"), history[done:], momentum[done:], start)["y"])
     after = sums(table, state(F.col("p"), history[done:], momentum[done:], start)["r"])
+    store.drop(table)
     return history, momentum, {"before": dict(zip(names, now, strict=True)), "goal": dict(zip(names, goal, strict=True)), "after": dict(zip(names, after, strict=True))}
 
 
 def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict | None = None, steps: int = STEPS, epochs: float = EPOCHS) -> DataFrame:
-    """docs (struct column _doc) with tokens, p, rate and copies.
+    """docs (struct column _doc) with tokens, p, rate, copies and residual.
 
     The targets are shares of ``epochs`` times the tokens there are.  copies is the rate rounded up or down by the hash of the id, so that its expectation is the
-    rate.  Goal and reached tokens of each domain are logged, a missed goal as a warning.  A null or empty text has no tokens and the priors as posteriors.  Without labelled
+    rate.  residual is one number for all: how far the domains' tokens are from their goals,
+    as the root of the sum of squares over all tokens wanted; goal and reached tokens of each domain
+    are logged, a missed goal as a warning.  A null or empty text has no tokens and the priors as posteriors.  Without labelled
     rows all posteriors are equal to the priors.  Rows with a null id are rounded by the hash
     of null; repeated rows get equal copies.  An empty table gives an empty result.
     """
@@ -147,10 +155,11 @@ def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     judged = store.written(with_posteriors(docs, row, prior, text_col).select("_doc", "m.tokens", "m.p"), "members")
     history, momentum, totals = fit_rates(judged.select("tokens", "p"), targets or TARGETS, steps, epochs)
     everything = sum(totals["goal"].values())
+    residual = math.sqrt(sum((totals["after"][d] - totals["goal"][d]) ** 2 for d in DOMAINS)) / (everything or 1.0)
     for d in DOMAINS:
         goal, after = totals["goal"][d], totals["after"][d]
         missed = abs(after - goal) > MISSED * everything
         logger.log(logging.WARNING if missed else logging.INFO, "mixing %s: goal %.0f tokens, reached %.0f after %d steps%s", d, goal, after, len(history), ", missed" * missed)
     r = state(F.col("p"), history, momentum)["r"]
     u = F.pmod(F.xxhash64(F.col("_doc")[id_col], F.lit(77)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return judged.withColumn("rate", r).select("_doc", "tokens", "p", "rate", F.floor(F.col("rate") + u).cast("int").alias("copies"))
+    return judged.withColumn("rate", r).select("_doc", "tokens", "p", "rate", F.floor(F.col("rate") + u).cast("int").alias("copies"), F.lit(residual).alias("residual"))
