@@ -15,7 +15,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     contracts the edges; only counts come to the driver.  Rows with a null end, loops and
     repeated edges are ignored.  Each round's tables and labels are written, so lineage stays
     short, and the ones before are deleted.  A hub's edges are combined before they are
-    shuffled, and a join of vertex names has one row for each vertex on one side.
+    shuffled, and a join of vertex names has one row for each vertex on one side.  The result is a
+    written table.
     """
     live = edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("a") != F.col("b"))).distinct()
     live = store.written(live, "edges")
@@ -40,6 +41,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
                 store.drop(old)
         live = following
     if labels is None:
-        return live.select(F.col("a").alias("id"), F.col("b").alias("component"))
+        return store.written(live.select(F.col("a").alias("id"), F.col("b").alias("component")), "labels")
     store.drop(live)
     return labels

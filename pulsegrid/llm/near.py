@@ -190,6 +190,8 @@ def _linked(rows: DataFrame, keys: list[str], percent: int, least: float, parts:
             yield store.to_batch(done(), "a long, b long")
         elif not some:
             yield store.to_batch([], "a long, b long")
+        held.clear()
+        store.lean()
 
     return rows.select(*keys, "id", "fragment", "asking", "sig8", "shingles").repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
@@ -206,6 +208,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     table = store.blocks(docs, id_col, text_col, parameters.pop("block_bytes", store.BLOCK_BYTES))
     found = _vertices(table, **parameters)
+    store.drop(table)
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
@@ -227,6 +230,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
             places = store.delivered(path, row["block"])
             if places is not None:
                 yield store.Block(row).restored(names, id_col, text_col, np.sort(places["place"].to_numpy().astype(np.int64)))
+            store.lean()
 
     kept = table.mapInArrow(run, store.restored_schema(docs, id_col))
     return kept.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in docs.schema])
@@ -235,6 +239,18 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 def _vertices(table: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, trees: int = TREES, levels: int = LEVELS, node: int = NODE, group_docs: int = GROUP_DOCS) -> DataFrame:
     """Every row of a table of blocks with its component: block, place, id, n (shingles), component."""
     spark = table.sparkSession
+    made: list[str] = []  # what only this function reads
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = store.written(df, name)
+        made.append(out._pulsegrid_path)
+        return out
+
+    def grouped(edges: DataFrame) -> DataFrame:
+        out = components(edges)
+        made.append(out._pulsegrid_path)
+        return out
+
     _, size = store.corpus_size(table)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -254,14 +270,14 @@ def _vertices(table: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
         where = np.full(len(n), block.block)
         yield from zip([None if x else i for i, x in zip(block.ids.tolist(), block.null, strict=True)], n.tolist(), d1.tolist(), d2.tolist(), values, where.tolist(), range(len(n)), strict=True)
 
-    info = store.written(store.per_block(table, describe, "id long, n long, d1 long, d2 long, sig binary, block long, place int"), "signatures")
+    info = keep(store.per_block(table, describe, "id long, n long, d1 long, d2 long, sig binary, block long, place int"), "signatures")
     key = ["n", "d1", "d2"]
     full = info.where("n > 0 and id is not null")
     # a block is a partition and a number in it, so block and place fit one number (see store.blocks)
     number = F.shiftleft(F.shiftright("r.block", 32), 40) + F.shiftleft(F.col("r.block").bitwiseAND(0xFFFFFFFF), 18) + F.col("r.place")
     classes = full.groupBy(*key).agg(F.min(F.struct("id", "block", "place")).alias("r")).select(*key, F.col("r.id").alias("first"), number.alias("rep"), F.col("r.block").alias("block"), F.col("r.place").alias("place"))
     # a class is known by its place: texts that share an id are several classes, one vertex only at the end
-    reps = store.written(classes.join(info.select("block", "place", "sig"), ["block", "place"]), "representatives")
+    reps = keep(classes.join(info.select("block", "place", "sig"), ["block", "place"]), "representatives")
 
     def narrow(sig: DataFrame) -> DataFrame:
         """The low byte of every value, for estimates."""
@@ -288,8 +304,8 @@ def _vertices(table: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     entries = reps.select("rep", "sig", F.lit(0).cast("long").alias("node"), F.lit(0).alias("tree")).mapInArrow(grow, "node long, rep long")
     members, edges = [], []
     for level in range(1, levels + 1):
-        entries = store.written(entries.distinct(), "entries")
-        sizes = store.written(entries.groupBy("node").agg(F.count("*").alias("size"), F.min("rep").alias("low")).where("size > 1"), "nodes")
+        entries = keep(entries.distinct(), "entries")
+        sizes = keep(entries.groupBy("node").agg(F.count("*").alias("size"), F.min("rep").alias("low")).where("size > 1"), "nodes")
         members.append(entries.join(sizes.where(F.col("size") <= node).select("node"), "node").select(F.xxhash64("node", F.lit(level)).alias("node"), "rep"))
         large = sizes.where(F.col("size") > node)
         if large.isEmpty():
@@ -299,7 +315,7 @@ def _vertices(table: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
             edges.append(beyond.select(F.col("rep").alias("a"), F.col("low").alias("b")))
         else:
             entries = beyond.select("node", "rep").join(reps.select("rep", "sig"), "rep").mapInArrow(grow, "node long, rep long")
-    compact = store.written(narrow(reps.select("rep", "sig")), "compact").withColumnRenamed("key", "rep")
+    compact = keep(narrow(reps.select("rep", "sig")), "compact").withColumnRenamed("key", "rep")
     small = members[0]
     for m in members[1:]:
         small = small.unionByName(m)
@@ -308,15 +324,16 @@ def _vertices(table: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     candidate = edges[0]
     for e in edges[1:]:
         candidate = candidate.unionByName(e)
-    groups = components(candidate).select(F.col("id").alias("rep"), F.col("component").alias("comp"))
-    groups = store.written(groups.join(reps.select("rep", "n", "block", "place"), "rep").join(compact, "rep"), "candidates")
+    groups = grouped(candidate).select(F.col("id").alias("rep"), F.col("component").alias("comp"))
+    groups = keep(groups.join(reps.select("rep", "n", "block", "place"), "rep").join(compact, "rep"), "candidates")
     load = groups.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / group_docs), F.ceil(F.sum(F.col("n") * 8) / GROUP_BYTES)).cast("int").alias("chunks"))
-    load = store.written(load, "load")
+    load = keep(load, "load")
 
     def sets(which: DataFrame) -> DataFrame:
         """Full sets of the chosen representatives, out of their blocks."""
         wanted = groups.join(which, "comp").withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("chunks")).cast("int"))
         path = store.deliver(wanted.select("block", "place", "comp", "chunk", "rep", "sig8"), "asked")
+        made.append(path)
 
         def run(batches):
             schema = "comp long, chunk int, id long, sig8 binary, shingles binary"
@@ -329,6 +346,8 @@ def _vertices(table: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
                 for out in store.chunks(((r["comp"], r["chunk"], r["rep"], r["sig8"], h[at[r["place"]] : at[r["place"] + 1]].tobytes()) for r in asked.to_pylist()), 512):
                     some = True
                     yield store.to_batch(out, schema)
+                del h, at, asked
+            store.lean()
             if not some:
                 yield store.to_batch([], schema)
 
@@ -336,23 +355,26 @@ def _vertices(table: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
 
     wide = max(parts, store.bucket_count(size))
     alone = F.col("id").alias("fragment"), F.lit(True).alias("asking")
-    links = store.written(_linked(sets(load.where("chunks = 1")).select("*", *alone), ["comp", "chunk"], percent, LOOSE_AT, wide), "links")
+    links = keep(_linked(sets(load.where("chunks = 1")).select("*", *alone), ["comp", "chunk"], percent, LOOSE_AT, wide), "links")
     big = load.where("chunks > 1")
     if not big.isEmpty():
-        links = links.unionByName(_large(store.written(sets(big), "sets"), percent, wide))
-    found = components(links)
+        links = links.unionByName(_large(keep(sets(big), "sets"), percent, wide, keep, grouped))
+    found = grouped(links)
     named = classes.select(*key, "rep", "first").join(found.select(F.col("id").alias("rep"), F.col("component").alias("linked")), "rep", "left")
     lowest = named.where("linked is not null").groupBy("linked").agg(F.min("first").alias("low"))
     where = named.join(lowest, "linked", "left").select(*key, F.coalesce("low", "first").alias("component"))
     joined = info.select("id", "block", "place", *key).join(where, key, "left")
     # rows that share an id are one vertex: a second pass only if there are any
     if not full.groupBy("id").agg(F.countDistinct(*key).alias("k")).where("k > 1").isEmpty():
-        again = components(joined.select(F.col("id").alias("a"), F.col("component").alias("b")))
+        again = grouped(joined.select(F.col("id").alias("a"), F.col("component").alias("b")))
         joined = joined.join(again.select(F.col("id"), F.col("component").alias("whole")), "id", "left").withColumn("component", F.coalesce("whole", "component"))
-    return joined.select("block", "place", "id", "n", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
+    out = store.written(joined.select("block", "place", "id", "n", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component")), "vertices")
+    for path in made:
+        store.remove(spark, path)
+    return out
 
 
-def _large(sets: DataFrame, percent: int, parts: int) -> DataFrame:
+def _large(sets: DataFrame, percent: int, parts: int, keep, grouped) -> DataFrame:
     """Links of candidate groups too large for one task.
 
     Chunks are linked inside; then the first members of the largest fragments are held against
@@ -362,7 +384,7 @@ def _large(sets: DataFrame, percent: int, parts: int) -> DataFrame:
     """
 
     def labelled(edges):
-        found = components(edges).withColumnRenamed("component", "fragment")
+        found = grouped(edges).withColumnRenamed("component", "fragment")
         return sets.join(found, "id", "left").withColumn("fragment", F.coalesce("fragment", "id"))
 
     def against(asking, now):
@@ -370,14 +392,14 @@ def _large(sets: DataFrame, percent: int, parts: int) -> DataFrame:
         ask = asking.drop("chunk").join(chunks, "comp").select("comp", "chunk", "part", "id", "fragment", F.lit(True).alias("asking"), "sig8", "shingles")
         parts_of = ask.select("comp", "chunk", "part").distinct()
         answer = now.join(parts_of, ["comp", "chunk"]).select("comp", "chunk", "part", "id", "fragment", F.lit(False).alias("asking"), "sig8", "shingles")
-        return store.written(_linked(ask.unionByName(answer), ["comp", "chunk", "part"], percent, LOOSE_AT, parts), "links")
+        return keep(_linked(ask.unionByName(answer), ["comp", "chunk", "part"], percent, LOOSE_AT, parts), "links")
 
-    links = store.written(_linked(sets.select("*", F.col("id").alias("fragment"), F.lit(True).alias("asking")), ["comp", "chunk"], percent, LOOSE_AT, parts), "links")
+    links = keep(_linked(sets.select("*", F.col("id").alias("fragment"), F.lit(True).alias("asking")), ["comp", "chunk"], percent, LOOSE_AT, parts), "links")
     order = W.partitionBy("comp").orderBy(F.desc("size"), "fragment")
-    now = store.written(labelled(links), "fragments")
+    now = keep(labelled(links), "fragments")
     first = now.groupBy("comp", "fragment").agg(F.count("*").alias("size")).withColumn("k", F.row_number().over(order)).where("k <= 8").select("comp", F.col("fragment").alias("id"))
     links = links.unionByName(against(now.join(first, ["comp", "id"]).withColumn("part", F.lit(0)), now))
-    now = store.written(labelled(links), "fragments")
+    now = keep(labelled(links), "fragments")
     largest = now.groupBy("comp", "fragment").agg(F.count("*").alias("size")).withColumn("k", F.row_number().over(order)).where("k = 1").select("comp", "fragment")
     loose = now.join(largest, ["comp", "fragment"], "left_anti")
     count = loose.groupBy("comp").agg(F.ceil(F.count("*") / 256).cast("int").alias("in_parts"))
