@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import store
+from . import store, tokens
 from .text import buffers
 
 CAPACITY, MOST_DOCS, END_ID = 2048, 2048, 0
@@ -107,14 +107,13 @@ def best_fit(histogram: dict[int, int], capacity: int = CAPACITY, most_docs: int
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
     """Token pieces of every document: id, piece, start, length, ids_crc32 (and ids, with keep_ids)."""
     schema = f"{id_col} long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
+    tokens.check_split(tokenizer)
 
     def run(batches):
-        from .tokens import encoder, slices
-
         for batch in batches:
             raw, at = buffers(batch.column(1))
-            for a, b in slices(at):
-                ids, begin = encoder(tokenizer).encode(raw[at[a] : at[b]], at[a : b + 1] - at[a], end_id)
+            for a, b in tokens.slices(at):
+                ids, begin = tokens.encoder(tokenizer).encode(raw[at[a] : at[b]], at[a : b + 1] - at[a], end_id)
                 count = np.diff(begin)
                 n = -(-count // capacity)
                 row = np.repeat(np.arange(b - a), n)
@@ -126,6 +125,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                 spans = [data[x:y] for x, y in zip(lo.tolist(), (lo + length * 4).tolist(), strict=True)]
                 out = [batch.column(0).slice(a, b - a).take(pa.array(row)), piece.astype(np.int32), start, length, np.array([zlib.crc32(x) for x in spans], np.int64)]
                 yield store.columns_batch(out + [pa.array(spans, pa.binary())] * keep_ids, schema)
+        store.lean()
 
     return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text")).mapInArrow(run, schema)
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import store
+from . import store, tokens
 from .text import buffers
 
 LENGTH, BATCH_ROWS, END_ID, FILE_BYTES = 2048, 256, 2, 64 << 20
@@ -108,13 +108,12 @@ def write_sequences(docs: DataFrame, tokenizer: str, path: str, id_col: str = "d
     executor or a second attempt leaves nothing half-written.
     """
     spark = docs.sparkSession
+    tokens.check_split(tokenizer)
     parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
     def run(batches):
         from pyspark import TaskContext
 
-        from .tokens import encoder, slices
-
         at = TaskContext.get()
         fs, base = filesystem(path)
         fs.create_dir(base, recursive=True)
@@ -126,16 +125,16 @@ def write_sequences(docs: DataFrame, tokenizer: str, path: str, id_col: str = "d
             for s in sinks:
                 s.close()
             name = f"part-{at.partitionId():06d}-{number:06d}"
-            fs.move(f"{base}/.{tag}.arrows", f"{base}/{name}.arrows")
-            fs.move(f"{base}/.{tag}.index", f"{base}/{name}.index")
+            for kind in ("arrows", "index"):
+                store.settle(fs, f"{base}/.{tag}.{kind}", f"{base}/{name}.{kind}")
             made.append((name, at.partitionId(), number, writer.docs, writer.tokens))
             writer, sinks, number = None, [], number + 1
 
         tag = ""
         for batch in batches:
             raw, pos = buffers(batch.column(1))
-            for a, b in slices(pos):
-                coder = encoder(tokenizer)
+            for a, b in tokens.slices(pos):
+                coder = tokens.encoder(tokenizer)
                 ids, begin = coder.encode(raw[pos[a] : pos[b]], pos[a : b + 1] - pos[a], end_id)
                 if writer is None:
                     tag = f"{at.partitionId()}-{number}-{at.taskAttemptId()}"
@@ -147,6 +146,7 @@ def write_sequences(docs: DataFrame, tokenizer: str, path: str, id_col: str = "d
                     close()
         if writer:
             close()
+        store.lean()
         yield store.to_batch(made, "file string, part int, number int, docs long, tokens long")
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

@@ -83,6 +83,9 @@ def remove(spark: SparkSession, path: str | None) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_pools: list[pa.MemoryPool] = []
+
+
 def lean() -> None:
     """Make this Python worker give memory back to the system, at the end of a task.
 
@@ -91,10 +94,15 @@ def lean() -> None:
     import ctypes
     import ctypes.util
 
-    pa.default_memory_pool().release_unused()
+    if pa.default_memory_pool().backend_name != "system":  # others keep what was freed to themselves
+        _pools.append(pa.default_memory_pool())
+        pa.set_memory_pool(pa.system_memory_pool())
+    for pool in _pools:
+        pool.release_unused()
     try:
         c = ctypes.CDLL(ctypes.util.find_library("c") or "libc.so.6")
-        # fixed values: M_MMAP_THRESHOLD and M_TRIM_THRESHOLD; what a block frees, the next one finds again
+        # fixed values: M_ARENA_MAX, M_MMAP_THRESHOLD and M_TRIM_THRESHOLD; what a block frees, the next one finds again
+        c.mallopt(-8, 1)
         c.mallopt(-3, 32 << 20)
         c.mallopt(-1, 1 << 29)
         c.malloc_trim(0)  # at a task's end all of it goes

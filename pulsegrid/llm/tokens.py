@@ -9,14 +9,22 @@ from __future__ import annotations
 
 import json
 import os
+import threading
+import time
 
 import numpy as np
 
-from .text import Words
+from .store import lean
+from .text import Words, in_order
 
 #: Words kept by a worker before it starts again.
-CACHE_WORDS = 3_000_000
+CACHE_WORDS = 1_000_000
+#: Words encoded in one call.
+TOGETHER = 4096
+#: Seconds after which an idle worker forgets its encoder.
+IDLE_SECONDS = 4.0
 _caches: dict = {}
+_asked = 0.0
 
 
 def check_split(path: str) -> None:
@@ -30,26 +38,32 @@ def check_split(path: str) -> None:
 
 
 class Encoder:
-    """Encodes batches of texts with a bounded cache of words."""
+    """Encodes batches of texts with a bounded cache of words, for a file that check_split() lets pass."""
 
     def __init__(self, path: str, most: int = CACHE_WORDS):
+        # a task is one thread; a pool of them would only spread its memory
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        lean()
         from tokenizers import Tokenizer
 
-        check_split(path)
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self._clear()
 
     def _clear(self) -> None:
-        self.known, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.begin, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        self.known, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.begin, self.ids = np.zeros(1, np.int32), np.zeros(0, np.uint32)
 
     def _ids(self, words: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How many ids each of the words at these places has, and all their ids."""
-        raw = words.raw.tobytes()
-        spelled = [raw[a:b].decode() for a, b in zip(words.start[at].tolist(), words.end[at].tolist(), strict=True)]
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(spelled, add_special_tokens=False)]
-        lengths = np.array([len(x) for x in found], np.int64)
-        return lengths, np.fromiter((v for x in found for v in x), np.uint32, int(lengths.sum()))
+        raw, lengths, ids = words.raw.tobytes(), [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+        # an encoding takes a hundred times its ids, so few are held at a time
+        for a in range(0, len(at), TOGETHER):
+            some = at[a : a + TOGETHER]
+            spelled = [raw[x:y].decode() for x, y in zip(words.start[some].tolist(), words.end[some].tolist(), strict=True)]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(spelled, add_special_tokens=False)]
+            lengths.append(np.array([len(x) for x in found], np.int64))
+            ids.append(np.fromiter((v for x in found for v in x), np.uint32, int(lengths[-1].sum())))
+        return np.concatenate(lengths), np.concatenate(ids)
 
     def _learn(self, words: Words, h: np.ndarray, at: np.ndarray) -> None:
         if len(self.known) + len(h) > self.most:
@@ -61,11 +75,11 @@ class Encoder:
         if not len(fresh):
             return
         lengths, flat = self._ids(words, at[fresh])
-        slots = len(self.begin) - 1 + np.arange(len(fresh))
-        self.begin = np.r_[self.begin, self.begin[-1] + np.cumsum(lengths)]
+        slots = len(self.begin) - 1 + np.arange(len(fresh), dtype=np.int32)
+        self.begin = np.r_[self.begin, self.begin[-1] + np.cumsum(lengths, dtype=np.int32)]
         self.ids = np.r_[self.ids, flat]
         known, slot = np.r_[self.known, h[fresh]], np.r_[self.slot, slots]
-        order = np.argsort(known, kind="stable")
+        order = in_order(known)
         self.known, self.slot = known[order], slot[order]
 
     def encode(self, raw: np.ndarray, at: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,15 +113,28 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    """The worker's encoder for a file."""
+    """The worker's encoder for a file; a worker that has not asked for some seconds forgets it.
+
+    Workers are kept for later stages, where the words would only take their memory.
+    """
+    global _asked
+    _asked = time.monotonic()
     key = (path, os.getpid())
     if key not in _caches:
         _caches[key] = Encoder(path)
+        threading.Thread(target=_forget, daemon=True).start()
     return _caches[key]
 
 
+def _forget() -> None:
+    while (left := _asked + IDLE_SECONDS - time.monotonic()) > 0:
+        time.sleep(left)
+    _caches.clear()
+    lean()
+
+
 #: Bytes of text encoded at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def slices(at: np.ndarray, most: int = SLICE_BYTES):
