@@ -96,7 +96,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     table = store.blocks(docs, id_col, text_col, block_bytes, whole_rows=whole_rows)
     _, size = store.corpus_size(table)
-    buckets = store.bucket_count(size)
+    buckets = 2 * store.bucket_count(size)  # windows are more than other keys
 
     def count(block):
         w = Windows(block, block.words(), window)
