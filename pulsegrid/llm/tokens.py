@@ -18,11 +18,11 @@ from .store import lean
 from .text import Words, in_order
 
 #: Words kept by a worker before it starts again.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 3_000_000
 #: Words encoded in one call.
 TOGETHER = 4096
 #: Seconds after which an idle worker forgets its encoder.
-IDLE_SECONDS = 4.0
+IDLE_SECONDS = 20.0
 _caches: dict = {}
 _asked = 0.0
 
