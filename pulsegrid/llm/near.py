@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import store
 from .components import components
-from .text import Words, chain, mix, second
+from .text import SLICE, Words, chain, mix, second
 
 #: Words of a shingle, percent of similarity that links, minhash values, trees, levels, documents
 #: of a small node, estimated similarity from which two documents are candidates, and documents
@@ -38,18 +38,27 @@ def recall(similarity: float, trees: int = TREES, levels: int = LEVELS, percent:
 
 def shingle_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles of all texts, sorted within each, and where each text's begin."""
-    first, h = words.windows(k)
-    text = np.searchsorted(words.offsets, first, "right") - 1
+    _, h = words.windows(k)
     n = words.counts()
+    full = np.maximum(0, n - (k - 1))
+    begin = np.r_[0, np.cumsum(full)]
+    lone = np.zeros(len(n), np.uint64)
     for short in range(1, k):
         rows = np.flatnonzero(n == short)
-        if len(rows):
-            h = np.concatenate([h, chain([words.hash[words.offsets[rows] + j] for j in range(short)])])
-            text = np.concatenate([text, rows])
-    order = np.lexsort((h, text))
-    h, text = h[order], text[order]
-    keep = np.r_[np.ones(min(1, len(h)), bool), (h[1:] != h[:-1]) | (text[1:] != text[:-1])]
-    return h[keep], np.searchsorted(text[keep], np.arange(len(n) + 1))
+        lone[rows] = chain([words.hash[words.offsets[rows] + j] for j in range(short)])
+    sets, size, a = [np.zeros(0, np.uint64)], np.zeros(len(n), np.int64), 0
+    while a < len(n):  # some texts at a time, as sorting takes several arrays
+        b = max(a + 1, int(np.searchsorted(begin, begin[a] + SLICE, "right")) - 1)
+        rows = np.flatnonzero((n[a:b] > 0) & (n[a:b] < k)) + a
+        x = np.concatenate([h[begin[a] : begin[b]], lone[rows]])
+        text = np.concatenate([np.repeat(np.arange(a, b), full[a:b]), rows])
+        order = np.lexsort((x, text))
+        x, text = x[order], text[order]
+        keep = np.r_[np.ones(min(1, len(x)), bool), (x[1:] != x[:-1]) | (text[1:] != text[:-1])]
+        sets.append(x[keep])
+        size[a:b] = np.bincount(text[keep] - a, minlength=b - a)
+        a = b
+    return np.concatenate(sets), np.r_[0, np.cumsum(size)]
 
 
 def signatures(h: np.ndarray, at: np.ndarray, values: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -59,7 +68,9 @@ def signatures(h: np.ndarray, at: np.ndarray, values: int) -> tuple[np.ndarray,
         return np.zeros((0, values), np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
     out = np.empty((len(starts), values), np.uint32)
     for i in range(values):
-        out[:, i] = np.minimum.reduceat(((h * _MULTIPLY[i]) >> np.uint64(32)).astype(np.uint32), starts)
+        x = h * _MULTIPLY[i]
+        x >>= np.uint64(32)
+        out[:, i] = np.minimum.reduceat(x, starts)
     return out, np.add.reduceat(second(h, 1), starts).view(np.int64), np.add.reduceat(second(h, 2), starts).view(np.int64)
 
 

@@ -11,39 +11,59 @@ driver, so the sketch is as wide for its keys in a large corpus as in a small on
 from __future__ import annotations
 
 import struct
+import sys
 
 import numpy as np
 
 from . import store
-from .text import in_order, pack_sorted, second, splits, unpack_sorted
+from .text import SLICE, in_order, pack_sorted, ranges, second, splits, unpack_sorted
 
 #: log2 of a row's counters for each bucket (about four for each window of its text), and rows.
 CELL_BITS, DEPTH = 23, 2
 
 
-class Routed:
-    """Distinct keys of a block, and the counters they touch in one row, by bucket."""
-
-    def __init__(self, keys: np.ndarray, row: int, buckets: int):
-        # the keys are ascending hashes already; another row's hashes are put in order
-        h = second(keys, 1000 + row) if row else keys
-        self.order = in_order(h) if row else np.arange(len(h))
-        h = h[self.order]
-        self.buckets, self.cut = store.cuts(h, buckets)
-        self.cell = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32 - CELL_BITS)
-
-    def parts(self):
-        for b, x, y in zip(self.buckets.tolist(), self.cut[:-1].tolist(), self.cut[1:].tolist(), strict=True):
-            yield b, slice(x, y)
+def routed(keys: np.ndarray, row: int, buckets: int):
+    """Of a block's distinct keys, by bucket: which ones touch counters of it in a row, ascending by counter, and their hashes.
+
+    The keys are ascending hashes already; another row's hashes are put in order, a range at a time.
+    """
+    if not row:
+        found, cut = store.cuts(keys, buckets)
+        for b, x, y in zip(found.tolist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            yield b, slice(x, y), keys[x:y]
+        return
+    hashes = np.empty(len(keys), np.uint64)
+    for a in range(0, len(keys), SLICE):
+        hashes[a : a + SLICE] = second(keys[a : a + SLICE], 1000 + row)
+    # by the high half of a hash, as buckets are: no bucket's keys are in two ranges that lie apart
+    high = hashes.view(np.uint32)[1 if sys.byteorder == "little" else 0 :: 2]
+    held_bucket, held = -1, []
+    for at in ranges(high, 1 << 32):
+        h = hashes[at]
+        order = in_order(h)
+        places = order if isinstance(at, slice) else at[order]
+        found, cut = store.cuts(h[order], buckets)
+        for b, x, y in zip(found.tolist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            if b != held_bucket and held:
+                p = np.concatenate(held)
+                yield held_bucket, p, hashes[p]
+                held = []
+            held_bucket = b
+            held.append(places[x:y])
+    if held:
+        p = np.concatenate(held)
+        yield held_bucket, p, hashes[p]
+
+
+def _cells(h: np.ndarray, buckets: int) -> np.ndarray:
+    return ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32 - CELL_BITS)
 
 
 def emit(keys: np.ndarray, twice: np.ndarray, buckets: int, depth: int = DEPTH):
     """(bucket, payload) of a block: its distinct keys, ascending, and whether it has each more than once."""
     for row in range(depth):
-        r = Routed(keys, row, buckets)
-        more = twice[r.order]
-        for b, s in r.parts():
-            yield row * buckets + b, struct.pack("<I", s.stop - s.start) + np.packbits(more[s]).tobytes() + pack_sorted(r.cell[s])
+        for b, at, h in routed(keys, row, buckets):
+            yield row * buckets + b, struct.pack("<I", len(h)) + np.packbits(twice[at]).tobytes() + pack_sorted(_cells(h, buckets))
 
 
 def merge(members: list[tuple]):
@@ -69,9 +89,6 @@ def repeated(keys: np.ndarray, replies: dict[int, bytes], buckets: int, depth: i
     """For each of a block's keys: False only where it surely occurs once in the corpus."""
     ok = np.ones(len(keys), bool)
     for row in range(depth):
-        r = Routed(keys, row, buckets)
-        found = np.empty(len(keys), bool)
-        for b, s in r.parts():
-            found[s] = np.unpackbits(np.frombuffer(replies[row * buckets + b], np.uint8), count=s.stop - s.start).astype(bool)
-        ok[r.order] &= found
+        for b, at, h in routed(keys, row, buckets):
+            ok[at] &= np.unpackbits(np.frombuffer(replies[row * buckets + b], np.uint8), count=len(h)).astype(bool)
     return ok

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -18,32 +19,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch, store
-from .text import Words, in_order, pack_sorted, small, splits, unpack_sorted
+from .text import SLICE, Words, in_order, pack_sorted, ranges, small, splits, unpack_sorted
 
 #: Words of a window.
 WINDOW = 13
 
 
 class Windows:
-    """The windows of a block: where they begin, their hashes and texts, and the distinct ones."""
+    """The windows of a block: where they begin, their hashes and texts."""
 
-    def __init__(self, block: store.Block, words: Words, k: int):
+    def __init__(self, words: Words, k: int):
         self.first, self.hash = words.windows(k)
-        self.text = np.searchsorted(words.offsets, self.first, "right") - 1
-        order = in_order(self.hash)
-        self.at = splits(self.hash[order])
-        self.key = self.hash[order][self.at]
-        # windows of rows without an id remove nothing and are no reason to remove
-        ids, null = block.ids[self.text[order]], block.null[self.text[order]]
-        if len(self.at):
-            self.low = np.minimum.reduceat(np.where(null, np.iinfo(np.int64).max, ids), self.at)
-            self.high = np.maximum.reduceat(np.where(null, np.iinfo(np.int64).min, ids), self.at)
-        else:
-            self.low = self.high = np.zeros(0, np.int64)
-
-    def named(self, ok: np.ndarray) -> np.ndarray:
-        """Of the distinct windows, those that some row with an id has."""
-        return ok & (self.low <= self.high)
+        self.text = np.repeat(np.arange(len(words.offsets) - 1, dtype=np.int32), np.maximum(0, words.counts() - (k - 1)))
+
+    def distinct(self, block: store.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of the distinct windows that some row with an id has, ascending; the smallest id of each, and whether another id has it."""
+        keys, lows, more = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+        for some in ranges(self.hash.view(np.uint32)[1 if sys.byteorder == "little" else 0 :: 2], 1 << 32):
+            h = self.hash[some]
+            if not len(h):
+                continue
+            order = in_order(h)
+            h, text = h[order], self.text[some][order]
+            at = splits(h)
+            # windows of rows without an id remove nothing and are no reason to remove
+            ids, null = block.ids[text], block.null[text]
+            low = np.minimum.reduceat(np.where(null, np.iinfo(np.int64).max, ids), at)
+            high = np.maximum.reduceat(np.where(null, np.iinfo(np.int64).min, ids), at)
+            named = low <= high
+            keys.append(h[at][named])
+            lows.append(low[named])
+            more.append((high > low)[named])
+        return np.concatenate(keys), np.concatenate(lows), np.concatenate(more)
 
 
 def _smallest(members: list[tuple]):
@@ -99,24 +106,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     buckets = 2 * store.bucket_count(size)  # windows are more than other keys
 
     def count(block):
-        w = Windows(block, block.words(), window)
-        named = w.named(np.ones(len(w.key), bool))
-        yield from sketch.emit(w.key[named], w.high[named] > w.low[named], buckets, depth)
+        # neither words nor windows are held while their keys are packed
+        key, _, more = Windows(block.words(), window).distinct(block)
+        yield from sketch.emit(key, more, buckets, depth)
 
-    def candidates(block, words):
-        """A block's windows, and of the distinct ones those estimated repeated."""
-        w = Windows(block, words, window)
-        ok = w.named(np.ones(len(w.key), bool))
-        ok[ok] = sketch.repeated(w.key[ok], store.answers_of(sketched, block.block), buckets, depth)
-        return w, w.key[ok], w.low[ok], w.high[ok]
+    def candidates(block, windows):
+        """Of the distinct windows those estimated repeated: hash, smallest id, whether another id has it."""
+        key, low, more = windows.distinct(block)
+        windows = None
+        ok = sketch.repeated(key, store.answers_of(sketched, block.block), buckets, depth)
+        return key[ok], low[ok], more[ok]
 
     def emit(block):
-        _, key, low, high = candidates(block, block.words())
+        key, low, more = candidates(block, Windows(block.words(), window))
         found, cut = store.cuts(key, buckets)
         for b, x, y in zip(found.tolist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True):
             base = int(low[x:y].min())
             ids = small((low[x:y] - base).view(np.uint64))
-            yield b, struct.pack("<Iqc", y - x, base, ids.dtype.str[2:].encode()) + ids.tobytes() + np.packbits(high[x:y] > low[x:y]).tobytes() + pack_sorted(key[x:y])
+            yield b, struct.pack("<Iqc", y - x, base, ids.dtype.str[2:].encode()) + ids.tobytes() + np.packbits(more[x:y]).tobytes() + pack_sorted(key[x:y])
 
     sketched, _ = store.ask(table, count, lambda _, m: sketch.merge(m), size, "sketch")
     path, _ = store.ask(table, emit, lambda _, m: _smallest(m), size, "repeats")
@@ -126,24 +133,29 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def apply(block, replies):
         words = block.words()
-        known, ids, first, h, text = (np.zeros(0, np.int64),) * 5
+        gone = np.zeros(len(words.hash) + 1, np.int32)
         if replies:
-            w, key, _, _ = candidates(block, words)
-            first, h, text = w.first, w.hash, w.text
+            w = Windows(words, window)
+            key, _, _ = candidates(block, w)
             found, cut = store.cuts(key, buckets)
             each = [(key[x:y], *_ids(replies[b], y - x)) for b, x, y in zip(found.tolist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True) if b in replies]
             known, ids = np.concatenate([k[on] for k, on, _ in each]), np.concatenate([i for *_, i in each])
-        gone = np.zeros(len(words.hash) + 1, np.int64)
-        if len(known):
-            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-            hit = (known[at] == h) & (ids[at] < block.ids[text]) & ~block.null[text]
-            np.add.at(gone, first[hit], 1)
-            np.add.at(gone, first[hit] + window, -1) if hit.any() else None
-        gone = np.cumsum(gone)[:-1] > 0
+            for a in range(0, len(w.hash) if len(known) else 0, SLICE):
+                h, first, text = w.hash[a : a + SLICE], w.first[a : a + SLICE], w.text[a : a + SLICE]
+                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                hit = (known[at] == h) & (ids[at] < block.ids[text]) & ~block.null[text]
+                gone[first[hit]] += 1  # a window begins at one word, so no place is twice in here
+                gone[first[hit] + window] -= 1
+            del w, key, known, ids
+        np.cumsum(gone, out=gone)
+        gone = gone[:-1] > 0
+        words.hash = None
         n_words = words.counts()
-        total = np.r_[0, np.cumsum(gone)]
+        total = np.zeros(len(gone) + 1, np.int32)
+        np.cumsum(gone, out=total[1:])
         removed = total[words.offsets[1:]] - total[words.offsets[:-1]]
-        raw = block.raw.tobytes()
+        del total
+        raw = memoryview(block.raw)
         if whole_rows:
             yield block.restored(names, id_col, text_col, np.arange(len(n_words)), [_left(words, gone, raw, block.at, i, removed[i]) for i in range(len(n_words))])
             return
@@ -154,7 +166,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 kept = np.flatnonzero(~gone[a:b]) + a
                 parts = [raw[x:y] for x, y in zip(words.start[kept].tolist(), words.end[kept].tolist(), strict=True)]
             else:
-                parts = raw[block.at[i] : block.at[i + 1]].split()
+                parts = bytes(raw[block.at[i] : block.at[i + 1]]).split()
             digests.append(hashlib.sha256(b" ".join(parts)).hexdigest())
         yield store.columns_batch([pa.array(block.ids, mask=block.null), n_words.astype(np.int64), removed.astype(np.int64), digests], schema)
 
@@ -173,10 +185,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return done.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in docs.schema]) if whole_rows else done
 
 
-def _left(words: Words, gone: np.ndarray, raw: bytes, at: np.ndarray, i: int, removed: int) -> str:
+def _left(words: Words, gone: np.ndarray, raw: memoryview, at: np.ndarray, i: int, removed: int) -> str:
     """What is left of text i."""
     if not removed:
-        return raw[at[i] : at[i + 1]].decode()
+        return str(raw[at[i] : at[i + 1]], "utf-8")
     kept = np.flatnonzero(~gone[words.offsets[i] : words.offsets[i + 1]]) + words.offsets[i]
     if not len(kept):
         return ""

@@ -21,16 +21,19 @@ _BYTE_LOWER[65:91] = _BYTE[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _SEGMENT = 1 << 18
+#: Numbers of a long array that are worked on at once where that needs several arrays as long.
+SLICE = 1 << 17
 _powers: list[np.ndarray] = []
 
 
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: a bijection that spreads every input bit."""
     h = h ^ (h >> np.uint64(32))
-    h = h * np.uint64(0xD6E8FEB86659FD93)
+    h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(32))
+    h ^= h >> np.uint64(32)
+    return h
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,6 +79,7 @@ class Words:
             self.start, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
         else:
             self.start = self.end = np.zeros(0, np.int64)
+        solid = first = last = None  # not held while words are hashed
         self.hash = self._hash(_BYTE_LOWER if lower else _BYTE)
         self.offsets = np.searchsorted(self.start, at)
 
@@ -90,9 +94,9 @@ class Words:
             total = np.zeros(b - a + 1, np.uint64)
             np.cumsum(table[self.raw[a:b]] * up[: b - a], out=total[1:])
             s, e = self.start[i:j] - a, self.end[i:j] - a
-            out[i:j] = (total[e] - total[s]) * down[s] + (e - s).astype(np.uint64) * _ODD
+            out[i:j] = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64) * _ODD)
             i = j
-        return mix(out)
+        return out
 
     def counts(self) -> np.ndarray:
         """Words of each text."""
@@ -107,16 +111,27 @@ class Words:
         n = len(self.hash) - k + 1
         if n <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        room = np.repeat(self.offsets[1:], self.counts())[:n] - np.arange(n)
-        first = np.flatnonzero(room >= k)
-        return first, chain([self.hash[j : j + n] for j in range(k)])[first]
+        inside = np.ones(n, bool)
+        for j in range(1, k):  # the j-th word from a text's end begins none
+            at = self.offsets[1:] - j
+            at = at[at >= self.offsets[:-1]]
+            inside[at[at < n]] = False
+        h = np.empty(int(np.count_nonzero(inside)), np.uint64)
+        done = 0
+        for a in range(0, n, SLICE):
+            b = min(a + SLICE, n)
+            some = chain([self.hash[a + j : b + j] for j in range(k)])[inside[a:b]]
+            h[done : done + len(some)] = some
+            done += len(some)
+        return np.flatnonzero(inside), h
 
 
 def chain(parts: list[np.ndarray]) -> np.ndarray:
     """Hash of sequences of hashes; parts[j] has the j-th item of every sequence."""
     h = np.full(len(parts[0]), len(parts), np.uint64) * _ODD
     for x in parts:
-        h = h * _Q + x
+        h *= _Q
+        h += x
     return mix(h)
 
 
@@ -140,16 +155,34 @@ def in_order(x: np.ndarray) -> np.ndarray:
     """
     bits = np.uint64(max(1, (len(x) - 1).bit_length()))
     low = (np.uint64(1) << bits) - np.uint64(1)
-    place = np.arange(len(x), dtype=np.uint64)
-    if not len(x) or x.max() >> (np.uint64(64) - bits) == 0:  # all of a number fits
-        both = np.sort(x << bits | place)
-        return (both & low).astype(np.int64)
-    both = np.sort(x & ~low | place)
-    order = (both & low).astype(np.int64)
-    full = x[order]
-    if ((both[1:] ^ both[:-1] <= low) & (full[1:] != full[:-1])).any():
-        return np.argsort(x, kind="stable")
-    return order
+    fits = not len(x) or x.max() >> (np.uint64(64) - bits) == 0  # all of a number
+    # one array, changed in place: callers sort what is large for a task
+    both = x << bits if fits else x & ~low
+    both |= np.arange(len(x), dtype=np.uint64)
+    both.sort()
+    for a in range(0, 0 if fits else len(x) - 1, SLICE):
+        some = both[a : a + SLICE + 1]
+        full = x[(some & low).view(np.int64)]
+        if ((some[1:] ^ some[:-1] <= low) & (full[1:] != full[:-1])).any():
+            return np.argsort(x, kind="stable")
+    both &= low
+    return both.view(np.int64)
+
+
+def ranges(x: np.ndarray, top: int):
+    """Places of numbers from 0 to top - 1 by equal ranges of them, ascending: few enough numbers to sort at once.
+
+    Within a range, places ascend.
+    """
+    parts = min(64, top, 1 + len(x) // SLICE)
+    if parts == 1:
+        yield slice(None)
+        return
+    part = np.empty(len(x), np.uint8)
+    for a in range(0, len(x), SLICE):
+        part[a : a + SLICE] = x[a : a + SLICE].astype(np.uint64) * np.uint64(parts) // np.uint64(top)
+    for p in range(parts):
+        yield np.flatnonzero(part == p)
 
 
 def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from pulsegrid.llm import mixing, near, nearest, pack, quality, queries, sequences, shards, substring, suffix, warc
+from pulsegrid.llm import mixing, near, nearest, pack, quality, queries, sequences, shards, store, substring, suffix, warc
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 SMALL = 1 << 12
@@ -442,3 +442,42 @@ def test_empty_tables(spark, empty):
     vectors = spark.createDataFrame([], "vec_id long, embedding array<float>")
     made = [suffix.score_texts(empty), near.near_duplicates(empty), near.keep_one(empty), substring.remove_repeats(empty), substring.remove_repeats(empty, whole_rows=True), warc.round_trip(pages), shards.shard_documents(empty), pack.pack_documents(empty, queries.tokenizer()), sequences.round_trip(empty, queries.tokenizer()), quality.score_quality(empty, labels), mixing.mix(empty, labels), nearest.search(vectors, vectors)]
     assert [d.count() for d in made] == [0] * len(made)
+
+
+def test_substring_dedup_of_a_block_takes_a_bounded_multiple_of_its_text(monkeypatch):
+    """8 MB of words: what is held at once, of numbers and bytes, while a block's windows are sent."""
+    import tracemalloc
+
+    import zstandard
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join(map(str, rng.integers(10_000, 99_999, 500))).encode() for _ in range(2800)]
+    size, n = sum(map(len, texts)), len(texts)
+    row = {"block": 0, "ids": np.r_[np.arange(n), np.zeros(n, np.int64)].tobytes(), "lengths": np.array([len(x) for x in texts], np.int64).tobytes(), "data": zstandard.ZstdCompressor(level=1).compress(b"".join(texts))}
+    asked = {}
+
+    class Table:
+        sparkSession, columns, schema = None, ["doc_id", "text"], None
+
+        def mapInArrow(self, *_):
+            return self
+
+    monkeypatch.setattr(store, "blocks", lambda *_, **__: Table())
+    monkeypatch.setattr(store, "corpus_size", lambda _: (n, size * 40))
+    monkeypatch.setattr(store, "ask", lambda _, emit, reduce, size, name: (asked.setdefault(name, emit) and name, (0, 0)))
+    substring.remove_repeats(Table())
+
+    def peak(emit):
+        tracemalloc.start()
+        try:
+            sent = list(emit(store.Block(row)))
+            return sent, tracemalloc.get_traced_memory()[1] / size
+        finally:
+            tracemalloc.stop()
+
+    peak(asked["sketch"])
+    sent, most = peak(asked["sketch"])
+    assert most < 14
+    ones = {b: np.packbits(np.ones(int.from_bytes(p[:4], "little"), bool)).tobytes() for b, p in sent}
+    monkeypatch.setattr(store, "answers_of", lambda *_: ones)
+    assert peak(asked["repeats"])[1] < 16

@@ -75,3 +75,27 @@ def test_order_and_distinct_numbers(values):
     assert (text.in_order(x) == np.argsort(x, kind="stable")).all()
     keys, of = text.distinct(x)
     assert (keys == np.unique(x)).all() and (keys[of] == x).all()
+
+
+@given(st.lists(st.integers(0, 2**64 - 1) | st.integers(0, 50), max_size=60), st.integers(1, 9))
+def test_ranges_hold_every_place_once_and_ascend(values, buckets):
+    from pulsegrid.llm import sketch
+
+    x = np.array(values, np.uint64)
+    key = np.unique(x)
+    whole = list(sketch.emit(key, key % 2 == 0, buckets))
+    kept, text.SLICE = text.SLICE, 3
+    try:
+        assert (text.in_order(x) == np.argsort(x, kind="stable")).all()
+        high = (x >> np.uint64(32)).astype(np.uint32)
+        places = [np.arange(len(x))[at] for at in text.ranges(high, 1 << 32)]
+        assert sorted(np.concatenate(places).tolist()) == list(range(len(x)))
+        spans = [(high[p].min(), high[p].max()) for p in places if len(p)]
+        assert all(a[1] < b[0] for a, b in zip(spans[:-1], spans[1:], strict=True))
+        assert list(sketch.emit(key, key % 2 == 0, buckets)) == whole
+        w = text.Words(*text.buffers(pa.array([" ".join(map(str, values)), None, "1 2", "1 2 3 4 5 6 7"])))
+        first, h = w.windows(3)
+        assert first.tolist() == [i for i in range(len(w.hash) - 2) if i + 3 <= min(e for e in w.offsets[1:] if e > i)]
+        assert (h == text.chain([w.hash[first + j] for j in range(3)])).all()
+    finally:
+        text.SLICE = kept
